@@ -5,7 +5,20 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from wireloom.llm.common import read, written
+from wireloom.llm.decontam import clean_documents
+from wireloom.llm.langid import learn_filter, training_rows, with_language
+from wireloom.llm.mixing import mixed
 from wireloom.llm.simhash import first_of_each_group
+from wireloom.llm.tokens import encode_and_read_back
+
+#: A document is rejected below this share of trigrams of its best language; prose is far above it.
+MIN_LANGUAGE_SCORE = 0.2
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in a language learned from docs stay; null texts and texts without letters or in no known language go."""
+    scored = with_language(docs, learn_filter(training_rows(docs)), lang="__lang", score="__score")
+    return scored.where((scored["__lang"] != "und") & (scored["__score"] >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -13,7 +26,28 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     return first_of_each_group(docs)
 
 
-STAGES = [("near_duplicates", near_duplicates)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item stay."""
+    return clean_documents(docs, read(spark, sf_dir, "benchmark").select("item_id", "text"))
+
+
+def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix of sources takes them."""
+    return mixed(docs)
+
+
+def token_shards(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as token shards, read back: doc_id, start, n_tokens, ids_crc32."""
+    return encode_and_read_back(docs)
+
+
+STAGES = [
+    ("language", language),
+    ("near_duplicates", near_duplicates),
+    ("decontamination", decontamination),
+    ("mixing", mixing),
+    ("token_shards", token_shards),
+]
 
 #: The stages hash, sketch and encode, which SQL cannot express; the tests hold them against brute force.
 ORACLE_SQL = None

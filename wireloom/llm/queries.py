@@ -1,6 +1,16 @@
 """The queries of the ten operators and their SQL, by name."""
 
+from .decontam import op8_decontaminate
+from .langid import op1_langid
+from .mixing import op4_mixing
 from .simhash import op2_simhash
+from .tokens import op9_token_shards
 
-QUERIES = {"op2_simhash": op2_simhash}
+QUERIES = {
+    "op1_langid": op1_langid,
+    "op2_simhash": op2_simhash,
+    "op4_mixing": op4_mixing,
+    "op8_decontaminate": op8_decontaminate,
+    "op9_token_shards": op9_token_shards,
+}
 ORACLE_SQL: dict[str, str] = {}
