@@ -1,16 +1,24 @@
 """The queries of the ten operators and their SQL, by name."""
 
+from .chat import OP5_SQL, op5_chat
 from .decontam import op8_decontaminate
 from .langid import op1_langid
 from .mixing import op4_mixing
+from .quality_model import op6_quality
+from .quality_rules import OP3_SQL, op3_host_rules
 from .simhash import op2_simhash
 from .tokens import op9_token_shards
+from .toxicity import op7_toxicity
 
 QUERIES = {
     "op1_langid": op1_langid,
     "op2_simhash": op2_simhash,
+    "op3_host_rules": op3_host_rules,
     "op4_mixing": op4_mixing,
+    "op5_chat": op5_chat,
+    "op6_quality": op6_quality,
+    "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_token_shards": op9_token_shards,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op3_host_rules": OP3_SQL, "op5_chat": OP5_SQL}
