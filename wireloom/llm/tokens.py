@@ -9,7 +9,6 @@ an id in any prefix and the place of its k-th occurrence without decoding the re
 from __future__ import annotations
 
 import os
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -28,15 +27,14 @@ BLOCK_BITS = 512
 #: Tokens after which a shard is closed; a document is never split.
 SHARD_TOKENS = 1 << 19
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 1_200_000
 END_ID = 1
 
 
 class WordEncoder:
     """Texts to ids, blank by blank: the pre-tokenizer drops white space, so words between ASCII blanks encode alone.
 
-    Right for tokenizers that never merge across white space. Words not seen lately are encoded many at a time,
-    with NUL words between them.
+    Right for lower-casing tokenizers that drop white space and mark the ends of words.
     """
 
     def __init__(self, path: str) -> None:
@@ -45,36 +43,30 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.known: dict[bytes, bytes] = {}
-        self.nul = self.encode_alone(b"\x00")
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
     def encode_alone(self, word: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32)
 
     def learn(self, words: list[bytes]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        plain = [w for w in words if b"\x00" not in w and b"<|" not in w]
+        """Encodes words of letters alone many at a time: each ends with the one id that ends a word."""
+        plain = [w for w in words if (s := w.decode()).isalpha()]
         for at in range(0, len(plain), 256):
             part = plain[at : at + 256]
-            ids = np.array(self.tokenizer.encode_batch_fast([" \x00 ".join([w.decode() for w in part])], add_special_tokens=False)[0].ids, np.uint32)
-            cuts = np.flatnonzero(ids == self.nul[0])
-            if len(self.nul) == 1 and len(cuts) == len(part) - 1:
-                for w, own in zip(part, np.split(ids, cuts)):
-                    self.known[w] = own[own != self.nul[0]].tobytes()
-            else:
-                for w in part:
-                    self.known[w] = self.encode_alone(w).tobytes()
-        for w in words:
-            if w not in self.known:
-                self.known[w] = self.encode_alone(w).tobytes()
+            ids = self.encode_alone(b" ".join(part))
+            cuts = np.flatnonzero(self.ends[ids]) + 1
+            if len(cuts) == len(part):
+                self.known.update(zip(part, (own.tobytes() for own in np.split(ids, cuts[:-1]))))
+        rest = [w for w in words if w not in self.known]
+        for w, own in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
+            self.known[w] = np.array(own.ids, np.uint32).tobytes()
 
     def encode(self, text: bytes | None) -> bytes:
         """The ids of the text as little-endian unsigned 32-bit integers."""
         text = text or b""
-        if b"<|" not in text:
-            # lower case ahead and a point or comma after an ASCII letter apart: both as the tokenizer has it, but with more repeats
-            text = re.sub(rb"(?<=[a-z])[.,](?=[\x20\x09-\x0d]|\Z)", rb" \g<0>", text.lower())
-        words = text.split()
+        words = (text if b"<|" in text else text.lower()).split()
         try:
             return b"".join(map(self.known.__getitem__, words))
         except KeyError:
@@ -86,6 +78,16 @@ class WordEncoder:
             return b"".join(map(self.known.__getitem__, words))
 
 
+_encoders: dict[str, WordEncoder] = {}
+
+
+def encoder(path: str) -> WordEncoder:
+    """This worker's encoder: it keeps what it has learned from task to task."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 class WaveletMatrix:
     """Bit-planes of a sequence of ids with rank and select."""
 
@@ -99,22 +101,24 @@ class WaveletMatrix:
         if len(ids) and int(ids.max()) < 1 << 16:
             now = now.astype(np.uint16)
         for b in range((int(ids.max()) if len(ids) else 0).bit_length() - 1, -1, -1):
-            bit = (now >> b) & 1
-            planes.append(np.packbits(bit.astype(bool)))
-            ones, rest = np.flatnonzero(bit), np.flatnonzero(bit == 0)
+            bit = (now & (1 << b)) != 0
+            planes.append(np.packbits(bit))
+            rest = now[~bit]
             zeros.append(len(rest))
-            now = np.concatenate((now[rest], now[ones]))
+            now = np.concatenate((rest, now[bit]))
         return cls(len(ids), planes, zeros)
 
     def decode(self) -> np.ndarray:
-        """All ids, in order."""
-        ids, order = np.zeros(self.n, np.uint32), np.arange(self.n, dtype=np.uint32)
-        for k, plane in enumerate(self.planes):
-            bit = np.unpackbits(plane, count=self.n).view(bool)
-            ones = order[bit]
-            ids[ones] |= np.uint32(1 << (len(self.planes) - 1 - k))
-            order = np.concatenate((order[~bit], ones))
-        return ids
+        """All ids, in order: from the last plane up, each undoes its own dealing."""
+        kind = np.uint16 if len(self.planes) <= 16 else np.uint32
+        now = np.zeros(self.n, kind)
+        for k in range(len(self.planes) - 1, -1, -1):
+            bit = np.unpackbits(self.planes[k], count=self.n).view(bool)
+            above = np.empty(self.n, kind)
+            above[bit] = now[self.zeros[k] :] | kind(1 << (len(self.planes) - 1 - k))
+            above[~bit] = now[: self.zeros[k]]
+            now = above
+        return now.astype(np.uint32)
 
     def ranks(self, k: int) -> np.ndarray:
         if self._ranks[k] is None:
@@ -222,13 +226,10 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     short_batches(spark)
     n_ranges = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
     cuts = np.array(sorted(set(docs.approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.25 / n_ranges))))
-    encoders: dict[str, WordEncoder] = {}
     tail = np.array([end_id], np.uint32).tobytes()
 
     def kernel(doc_ids: pa.Array, texts: pa.Array) -> list[pa.Array]:
-        if tokenizer not in encoders:
-            encoders[tokenizer] = WordEncoder(tokenizer)
-        encode = encoders[tokenizer].encode
+        encode = encoder(tokenizer).encode
         part = [len(cuts) + 1 if d is None else int(np.searchsorted(cuts, d, side="right")) for d in doc_ids.to_pylist()]
         ids = [np.frombuffer(encode(t) + tail, np.uint32) for t in texts.to_pylist()]
         narrow = [b"\x02" + x.astype(np.uint16).tobytes() if x.max() < 1 << 16 else b"\x04" + x.tobytes() for x in ids]
