@@ -4,6 +4,7 @@ from .chat import OP5_SQL, op5_chat
 from .decontam import op8_decontaminate
 from .langid import op1_langid
 from .mixing import op4_mixing
+from .passages import op10_passages
 from .quality_model import op6_quality
 from .quality_rules import OP3_SQL, op3_host_rules
 from .simhash import op2_simhash
@@ -20,5 +21,6 @@ QUERIES = {
     "op7_toxicity": op7_toxicity,
     "op8_decontaminate": op8_decontaminate,
     "op9_token_shards": op9_token_shards,
+    "op10_passages": op10_passages,
 }
 ORACLE_SQL = {"op3_host_rules": OP3_SQL, "op5_chat": OP5_SQL}
