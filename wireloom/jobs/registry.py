@@ -1,8 +1,6 @@
 """All queries of this library, by name, with DuckDB SQL beside each that SQL can express."""
 
-from collections.abc import Callable
+from . import flow_queries, web_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES = web_queries.QUERIES | flow_queries.QUERIES
+ORACLE_SQL = web_queries.ORACLE_SQL | flow_queries.ORACLE_SQL
