@@ -5,8 +5,11 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import kernels
 
@@ -18,22 +21,23 @@ ALERT_CALLS = (
 )
 SECTION = "struct<name:string,vaddr:long,vsize:long,raw_ptr:long,raw_size:long,entropy:double>"
 PE = f"capture string, object_id long, size long, timestamp long, image_base long, entry_point long, checksum_claimed long, checksum_actual long, characteristics int, sections array<{SECTION}>, imports array<struct<dll:string,name:string,ordinal:int>>, ep_bytes binary, error string"
-PE_NAMES = [x.split(" ")[0] for x in PE.replace(f"array<{SECTION}>", "x").replace("array<struct<dll:string,name:string,ordinal:int>>", "x").split(", ")]
 
 
 def pe_headers(objs: DataFrame) -> DataFrame:
     """PE rows of objects (capture, id, value) that start with MZ; what cannot be read has only `error`."""
     rows = objs.where(F.hex(F.substring("value", 1, 2)) == "4D5A").select("capture", "id", "value")
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for f in frames:
+    arrow = to_arrow_schema(T.StructType.fromDDL(PE))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
             out = []
-            for capture, id, value in zip(f["capture"], f["id"], f["value"]):
+            for capture, id, value in zip(*(c.to_pylist() for c in b.columns)):
                 got = kernels.parse_pe(value)
                 out.append({"capture": capture, "object_id": id, "error": None if got else "not readable"} | (got or {}))
-            yield pd.DataFrame(out, columns=PE_NAMES)
+            yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
-    return rows.mapInPandas(run, PE)
+    return rows.mapInArrow(run, PE)
 
 
 def kind_of(characteristics: Column) -> Column:
@@ -75,7 +79,7 @@ def imphash(imports: Column) -> Column:
     return F.when(F.size(imports) > 0, F.md5(F.array_join(F.transform(imports, one), ",")))
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(T.LongType())
 def pe_checksum(data: pd.Series, at: pd.Series) -> pd.Series:
     """The folding checksum without the field at `at`, plus the length."""
     return pd.Series([None if d is None else kernels.pe_checksum(d, a) for d, a in zip(data, at)], dtype="Int64")

@@ -80,19 +80,19 @@ def response_columns(head: Column) -> dict[str, Column]:
     }
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def dechunk(raw: pd.Series) -> pd.Series:
     """Chunked bodies put together; a broken one gives what was read so far."""
     return raw.map(kernels.dechunk, na_action="ignore")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def gunzip(raw: pd.Series) -> pd.Series:
     """Bytes that start as gzip and are longer than 10, inflated (up to kernels.MAX_INFLATED bytes); null if broken, others as they are."""
     return raw.map(kernels.gunzip, na_action="ignore")
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def inflate(raw: pd.Series) -> pd.Series:
     """Raw or zlib deflate; null if broken."""
     return raw.map(kernels.inflate, na_action="ignore")
@@ -111,7 +111,7 @@ def parse_content_type(value: Column) -> Column:
     return F.struct(F.lower(F.trim(F.substring_index(value, ";", 1))).alias("mime"), F.lower(F.trim(charset)).alias("charset"))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def decode_body(body: pd.Series, charset: pd.Series) -> pd.Series:
     """Text by the declared charset, else UTF-8, else GB18030, else an error text."""
     return pd.Series([kernels.decode(b, c) for b, c in zip(body, charset)])

@@ -8,6 +8,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import kernels
 from .http import gunzip
@@ -56,7 +57,7 @@ def slice_bytes(body: Column, offset: int, length: int) -> Column:
     return F.substring(body, offset + 1, length)
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def slice_block(body: pd.Series, offset: pd.Series) -> pd.Series:
     """From offset to the brace that closes the first one; null if none does."""
     return pd.Series([None if b is None else kernels.end_of_block(b, o) for b, o in zip(body, offset)])
@@ -191,7 +192,7 @@ def detect_obfuscation(code: Column) -> Column:
     return F.filter(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]), lambda x: x.isNotNull())
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unpack_script(code: pd.Series, kind: pd.Series) -> pd.Series:
     todo = {"packed": kernels.unpack_packed, "string_array": kernels.unpack_string_array, "reversed_base64": kernels.unpack_reversed_base64}
     return pd.Series([todo[k](c) if k in todo and c is not None else None for c, k in zip(code, kind)])
@@ -215,7 +216,7 @@ def reputation_join(objs: DataFrame, verdicts: DataFrame) -> tuple[DataFrame, Da
     return summary, engines.select("capture", "id", "md5", "engine", "scan.result")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(T.DoubleType())
 def byte_entropy(body: pd.Series) -> pd.Series:
     """Shannon entropy of the bytes, in bits."""
     return body.map(kernels.entropy, na_action="ignore").astype(float)
