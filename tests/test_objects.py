@@ -83,6 +83,8 @@ def test_executables(spark):
     assert [s.name for s in got[1].sections] == [".text", ".idata"] and [i.name for i in got[1].imports] == ["ExitProcess", "WinExec"]
     assert not got[1].bad_time and not got[1].bad_entry and got[1].bad_checksum
     assert [(r.name, r.suspicious) for r in X.pe_sections(pe).orderBy("n").collect()] == [(".text", True), (".idata", False)]
+    assert [(r.section, r.best) for r in X.match_section_packers(pe, [("zero", "0001??"), ("longer", "00010203"), ("other", "FF")]).collect()] == [(".text", "longer")]
+    assert [(r.object_id, r.best) for r in X.match_packers(pe, [("zero", "0001??03"), ("short", "00")]).where("best is not null").collect()] == [(1, "zero")]
     assert pe.where("object_id = 1").select(X.probably_packed(F.col("sections"), F.col("size"))).first()[0]
 
 

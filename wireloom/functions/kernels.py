@@ -207,7 +207,7 @@ def parse_pe(data: bytes) -> dict | None:
             at = opt + n_opt + 40 * i
             name, vsize, vaddr, raw_size, raw_ptr = struct.unpack_from("<8sIIII", data, at)
             body = data[raw_ptr : raw_ptr + raw_size]
-            sections.append({"name": name.rstrip(b"\0").decode("latin-1"), "vaddr": vaddr, "vsize": vsize, "raw_ptr": raw_ptr, "raw_size": raw_size, "entropy": entropy(body)})
+            sections.append({"name": name.rstrip(b"\0").decode("latin-1"), "vaddr": vaddr, "vsize": vsize, "raw_ptr": raw_ptr, "raw_size": raw_size, "entropy": entropy(body), "head": body[:256]})
 
         def offset(rva: int) -> int | None:
             for s in sections:

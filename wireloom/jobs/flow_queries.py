@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import flow as L
@@ -13,8 +10,9 @@ from ..operators import http as H
 from ..operators import packets as P
 from ..sources import captures
 from ..functions import kernels
+from ..functions.tables import shared_path
 from ..streaming import streams as T
-from .stand_ins import event_packets, micros, page_frames, page_messages, table, tcp_frame, hexes
+from .stand_ins import event_packets, hexes, micros, page_visits, table, tcp_frame
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -67,8 +65,6 @@ def filter_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("filter_requests", r"SELECT page_id FROM pages WHERE regexp_extract(url, '^https?://([^/?#]*)', 1) = (SELECT min(regexp_extract(url, '^https?://([^/?#]*)', 1)) FROM pages) AND contains(url, '/en/')")
 def filter_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from .stand_ins import page_visits
-
     v = page_visits(spark, sf_dir)
     return P.filter_requests(v, v.agg(F.min("host")).first()[0] or "", "/en/").select(F.col("packet_no").alias("page_id"))
 
@@ -176,8 +172,7 @@ def flow_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ran(stream: DataFrame) -> DataFrame:
     """The rows of a stream over what is there now, written to the shared folder and read again."""
     spark = stream.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="wireloom-")
-    base = f"{root.rstrip('/')}/streams/{uuid.uuid4().hex}"
+    base = shared_path(spark, "stream")
     query = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).outputMode("append").start()
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")

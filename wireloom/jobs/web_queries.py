@@ -20,7 +20,7 @@ from ..operators import packets as P
 from ..operators import report as R
 from ..sources import captures, sinks
 from .plugins import PLUGINS
-from .stand_ins import event_packets, micros, page_frames, page_messages, page_visits, part_executables, table
+from .stand_ins import micros, page_frames, page_messages, page_visits, part_executables, table
 
 QUERIES, ORACLE_SQL = {}, {}
 
@@ -303,6 +303,12 @@ def executable_sections(spark, sf_dir):
     return rows.where("name = '.text'").select("object_id", "name", "raw_size", (F.col("raw_size") == 0).alias("none"))
 
 
+@query("section_packers", "SELECT p_partkey AS object_id, '.text' AS section, 'prologue' AS best FROM part")
+def section_packers(spark, sf_dir):
+    pe = X.pe_headers(part_executables(spark, sf_dir))
+    return X.match_section_packers(pe, [("prologue", "55??EC"), ("other", "60E8")]).select("object_id", "section", "best")
+
+
 @query("suspicious_imports", "SELECT p_partkey AS object_id, 'kernel32.dll' AS dll, 'WinExec' AS name FROM part WHERE p_partkey % 5 = 0")
 def suspicious_imports(spark, sf_dir):
     return X.suspicious_imports(X.pe_headers(part_executables(spark, sf_dir))).select("object_id", "dll", "name")

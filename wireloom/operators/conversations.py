@@ -24,11 +24,18 @@ def dedupe_conversations(convs: DataFrame) -> DataFrame:
     return convs.join(first, ["capture", "packet_no"], "left_semi")
 
 
-def number_conversations(convs: DataFrame) -> DataFrame:
-    """convs with id: the 0-based place in its capture by (ts_us, packet_no)."""
-    w = Window.partitionBy("capture").orderBy("ts_us", "packet_no")
-    ids = convs.select("capture", "packet_no", (F.row_number().over(w) - 1).cast("long").alias("id"))
-    return convs.join(ids, ["capture", "packet_no"])
+def number_conversations(convs: DataFrame, bucket_us: int = 60_000_000) -> DataFrame:
+    """convs with id: the 0-based place in its capture by (ts_us, packet_no).
+
+    Counts per time bucket are summed up ahead of each bucket, and rows are numbered within a bucket only, so a capture
+    of any length is no single task. Only keys go through the windows.
+    """
+    keys = convs.select("capture", "packet_no", "ts_us", F.floor(F.col("ts_us") / bucket_us).alias("bucket"))
+    ahead = Window.partitionBy("capture").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keys.groupBy("capture", "bucket").agg(F.count(F.lit(1)).alias("n")).select("capture", "bucket", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    within = Window.partitionBy("capture", "bucket").orderBy("ts_us", "packet_no")
+    ids = keys.withColumn("at", F.row_number().over(within) - 1).join(starts, ["capture", "bucket"])
+    return convs.join(ids.select("capture", "packet_no", (F.col("start") + F.col("at")).cast("long").alias("id")), ["capture", "packet_no"])
 
 
 def derive_filename(uri: Column, id: Column, disposition: Column | None = None) -> Column:

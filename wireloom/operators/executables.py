@@ -19,7 +19,7 @@ ALERT_CALLS = (
     "OpenProcess", "VirtualAllocEx", "WriteProcessMemory", "CreateRemoteThread", "ReadProcessMemory", "CreateProcess", "WinExec", "ShellExecute",
     "HttpSendRequest", "InternetReadFile", "InternetConnect", "CreateService", "StartService",
 )
-SECTION = "struct<name:string,vaddr:long,vsize:long,raw_ptr:long,raw_size:long,entropy:double>"
+SECTION = "struct<name:string,vaddr:long,vsize:long,raw_ptr:long,raw_size:long,entropy:double,head:binary>"
 PE = f"capture string, object_id long, size long, timestamp long, image_base long, entry_point long, checksum_claimed long, checksum_actual long, characteristics int, sections array<{SECTION}>, imports array<struct<dll:string,name:string,ordinal:int>>, ep_bytes binary, error string"
 
 
@@ -93,9 +93,19 @@ def probably_packed(sections: Column, size: Column) -> Column:
     return F.coalesce((whole > 0) & (dense / F.nullif(whole, F.lit(0)) > 0.2), F.lit(False))
 
 
+def packer_hits(hexes: Column, signatures: list[tuple[str, str]]) -> Column:
+    tests = [F.when(hexes.rlike("^" + p.replace("??", "..")), F.struct(F.lit(len(p)).alias("n"), F.lit(name).alias("name"))) for name, p in signatures]
+    return F.filter(F.array(*tests), lambda x: x.isNotNull()) if tests else F.array().cast("array<struct<n:int,name:string>>")
+
+
+def match_section_packers(pe: DataFrame, signatures: list[tuple[str, str]]) -> DataFrame:
+    """(capture, object_id, n, section, best): signatures that match where a section starts; sections without a match are left out."""
+    rows = pe.select("capture", "object_id", F.posexplode("sections").alias("n", "s"))
+    hits = packer_hits(F.hex("s.head"), signatures)
+    return rows.select("capture", "object_id", "n", F.col("s.name").alias("section"), F.array_max(hits)["name"].alias("best")).where("best is not null")
+
+
 def match_packers(pe: DataFrame, signatures: list[tuple[str, str]]) -> DataFrame:
     """(capture, object_id, names, best): packer signatures (name, pattern of hex with ?? for any byte) that match at the entry point; best: the longest."""
-    bytes_ = F.hex("ep_bytes")
-    tests = [F.when(bytes_.rlike("^" + p.replace("??", "..")), F.struct(F.lit(len(p)).alias("n"), F.lit(name).alias("name"))) for name, p in signatures]
-    hits = F.filter(F.array(*tests), lambda x: x.isNotNull()) if tests else F.array().cast("array<struct<n:int,name:string>>")
+    hits = packer_hits(F.hex("ep_bytes"), signatures)
     return pe.select("capture", "object_id", F.array_sort(F.transform(hits, lambda x: x["name"])).alias("names"), F.array_max(hits)["name"].alias("best"))

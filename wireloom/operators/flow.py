@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.tables import written
+
 
 def authority(url):
     return F.coalesce(F.try_parse_url(F.lower(url), F.lit("AUTHORITY")), F.lit(""))
@@ -47,8 +49,10 @@ def flow_roots(edges: DataFrame) -> DataFrame:
 def flow_paths(edges: DataFrame, isolated: DataFrame | None = None) -> DataFrame:
     """(capture, depth, path): paths from Client to every host; an edge hangs below its parent's own edge if that has a lower index.
 
-    One join a level, over edges of hosts; indexes rise along a path, so the levels end even on cycles.
+    One join a level, over edges of hosts; indexes rise along a path, so the levels end even on cycles. Every level
+    is written, so that none is computed again for the next.
     """
+    edges = written(edges, "flow-edges")
     roots = flow_roots(edges)
     top = roots.select("capture", "parent").distinct()
     if isolated is not None:
@@ -56,7 +60,7 @@ def flow_paths(edges: DataFrame, isolated: DataFrame | None = None) -> DataFrame
     out = top.select("capture", F.lit(1).alias("depth"), F.array(F.lit("Client"), "parent").alias("path"))
     level = roots.select("capture", "idx", "child", F.lit(2).alias("depth"), F.array(F.lit("Client"), "parent", "child").alias("path"))
     below = edges.select("capture", F.col("idx").alias("next_idx"), F.col("parent").alias("child"), F.col("child").alias("next"))
-    while not level.isEmpty():
+    while not (level := written(level, "flow-level")).isEmpty():
         out = out.unionByName(level.select("capture", "depth", "path"))
         level = level.join(below, ["capture", "child"]).where("next_idx > idx").select("capture", F.col("next_idx").alias("idx"), F.col("next").alias("child"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("next")).alias("path"))
     return out

@@ -150,11 +150,8 @@ def messages_of(packets: DataFrame) -> DataFrame:
     cut = segment_messages(placed.select(*conn, "src", "dst", "packet_no", "ts_us", "skip", "kept", "emit_no", "at"), conn, ["emit_no", "at"], "src")
     body = rows.select("capture", "packet_no", "payload")
     joined = cut.join(body, ["capture", "packet_no"]).withColumn("bytes", F.expr("substring(payload, cast(skip as int) + 1, cast(kept as int))"))
-    joined.createOrReplaceTempView("__pieces")
-    made = joined.sparkSession.sql("""
-        SELECT capture, flow_key, conn_no, msg_no, src, dst, min(ts_us) AS first_ts_us, min(packet_no) AS first_packet_no,
-               listagg(bytes, X'') WITHIN GROUP (ORDER BY emit_no, at) AS raw
-        FROM __pieces GROUP BY capture, flow_key, conn_no, msg_no, src, dst""")
+    raw = F.expr("listagg(bytes, X'') WITHIN GROUP (ORDER BY emit_no, at)")
+    made = joined.groupBy(*conn, "msg_no", "src", "dst").agg(F.min("ts_us").alias("first_ts_us"), F.min("packet_no").alias("first_packet_no"), raw.alias("raw"))
     is_request = F.substring_index(F.decode(F.substring("raw", 1, 16), "ISO-8859-1"), " ", 1).isin(*METHODS)
     made = made.withColumn("is_request", is_request)
     w = Window.partitionBy(*conn).orderBy(F.when(F.col("is_request"), 0).otherwise(1), "msg_no")
