@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, fold_of, read, short_batches
+from .common import append_columns, fold_of, read, short_batches, written
 from .learning import SparseRows, bounded_sample, sigmoid
 
 #: Labelled rows of either kind that the chain is fitted on, at most (about).
@@ -133,7 +133,8 @@ def learn_chain(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     """
     per_id = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("label"))
     sample = bounded_sample(per_id.where("label = 1"), max_rows).unionByName(bounded_sample(per_id.where("label = 0"), max_rows))
-    rows = docs.select("doc_id", "text").join(sample, "doc_id")
+    # the sample's size is bounded, so it may go to all executors, and the texts it picks may be kept
+    rows = written(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "toxicity-sample")
     chain = ToxicityChain(["severe", "toxic"], *telling_features(rows))
 
     def kernel(texts: pa.Array) -> list[pa.Array]:
