@@ -101,7 +101,8 @@ def learn_quality(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS)
     prior = per_id.agg(F.avg("quality")).first()[0]
     trusted = bounded_sample(per_id.where("quality = 1"), max_rows).select("doc_id")
     slim = docs.select("doc_id", "text")
-    xp = with_statistics(slim.join(trusted, "doc_id", "left_semi"), ["doc_id"]).select("x").collect()
+    # the sample's size is bounded, so it may go to all executors
+    xp = with_statistics(slim.join(F.broadcast(trusted), "doc_id", "left_semi"), ["doc_id"]).select("x").collect()
     xu = with_statistics(bounded_sample(slim, max_rows), ["doc_id"]).select("x").collect()
     as_rows = lambda rows: np.array([r.x for r in rows], np.float64).reshape(-1, N_FEATURES)
     return fit_nnpu(as_rows(xp), as_rows(xu), min(max(0.5 if prior is None else float(prior), 0.01), 0.99))
