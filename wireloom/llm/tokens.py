@@ -12,6 +12,7 @@ import os
 import struct
 import zlib
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,11 @@ BLOCK_BITS = 512
 #: Tokens after which a shard is closed; a document is never split.
 SHARD_TOKENS = 1 << 19
 #: Words whose ids a worker keeps.
-CACHE_WORDS = 1_200_000
+CACHE_WORDS = 1_600_000
+#: Marks that may end a word; an apostrophe may start a contraction and is none of them.
+MARKS = b".,;:!?"
+#: Text bytes whose words are looked up together.
+GROUP_BYTES = 2 << 20
 END_ID = 1
 
 
@@ -51,31 +56,49 @@ class WordEncoder:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32)
 
     def learn(self, words: list[bytes]) -> None:
-        """Encodes words of letters alone many at a time: each ends with the one id that ends a word."""
-        plain = [w for w in words if (s := w.decode()).isalpha()]
+        """Makes all of words known. Words of letters alone are encoded many at a time: each ends with the one id that ends a word.
+
+        A word of letters and then marks is the one and the other, as the tokenizer never merges across that border.
+        """
+        if len(self.known) + len(words) > CACHE_WORDS:
+            self.known = dict(islice(self.known.items(), len(self.known) // 2 + len(words), None))
+        parts = {w: (core, w[len(core) :]) for w in words if (core := w.rstrip(MARKS)) != w and core.decode().isalpha()}
+        new = [w for w in dict.fromkeys([x for w in words for x in parts.get(w, (w,))]) if w not in self.known]
+        plain = [w for w in new if w.decode().isalpha()]
         for at in range(0, len(plain), 256):
             part = plain[at : at + 256]
             ids = self.encode_alone(b" ".join(part))
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
-                self.known.update(zip(part, (own.tobytes() for own in np.split(ids, cuts[:-1]))))
-        rest = [w for w in words if w not in self.known]
+                data, ends = ids.tobytes(), (4 * cuts).tolist()
+                self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *ends], ends))))
+        rest = [w for w in new if w not in self.known]
         for w, own in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
             self.known[w] = np.array(own.ids, np.uint32).tobytes()
+        for w, (core, marks) in parts.items():
+            self.known[w] = self.known[core] + self.known[marks]
+
+    def encode_many(self, texts: list[bytes | None]) -> list[bytes]:
+        """The ids of each text as little-endian unsigned 32-bit integers; some texts at a time, so that each new word is looked up once."""
+        out: list[bytes] = []
+        lists: list[list[bytes]] = []
+        size = 0
+        for i, text in enumerate(texts):
+            text = text or b""
+            lists.append((text if b"<|" in text else text.lower()).split())
+            size += len(text)
+            if size >= GROUP_BYTES or i + 1 == len(texts):
+                self.learn([w for w in set().union(*lists) if w not in self.known])
+                for words in lists:
+                    try:
+                        out.append(b"".join(map(self.known.__getitem__, words)))
+                    except KeyError:  # some were dropped to make room
+                        out.append(b"".join([self.known[w] if w in self.known else self.encode_alone(w).tobytes() for w in words]))
+                lists, size = [], 0
+        return out
 
     def encode(self, text: bytes | None) -> bytes:
-        """The ids of the text as little-endian unsigned 32-bit integers."""
-        text = text or b""
-        words = (text if b"<|" in text else text.lower()).split()
-        try:
-            return b"".join(map(self.known.__getitem__, words))
-        except KeyError:
-            new = [w for w in dict.fromkeys(words) if w not in self.known]
-            if len(self.known) + len(new) > CACHE_WORDS:
-                self.known.clear()
-                new = list(dict.fromkeys(words))
-            self.learn(new)
-            return b"".join(map(self.known.__getitem__, words))
+        return self.encode_many([text])[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -229,9 +252,8 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
     tail = np.array([end_id], np.uint32).tobytes()
 
     def kernel(doc_ids: pa.Array, texts: pa.Array) -> list[pa.Array]:
-        encode = encoder(tokenizer).encode
         part = [len(cuts) + 1 if d is None else int(np.searchsorted(cuts, d, side="right")) for d in doc_ids.to_pylist()]
-        ids = [np.frombuffer(encode(t) + tail, np.uint32) for t in texts.to_pylist()]
+        ids = [np.frombuffer(x + tail, np.uint32) for x in encoder(tokenizer).encode_many(texts.to_pylist())]
         narrow = [b"\x02" + x.astype(np.uint16).tobytes() if x.max() < 1 << 16 else b"\x04" + x.tobytes() for x in ids]
         return [pa.array(part, pa.int32()), pa.array(narrow, pa.binary())]
 
