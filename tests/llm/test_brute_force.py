@@ -252,6 +252,23 @@ def test_planted_near_passages(spark):
     assert caught == set(range(340)) and len(rows) < 3000
 
 
+def test_passages_one_after_the_other_in_one_text_only():
+    """Two near repeats that one text has side by side and the other apart, close by, or in the other order."""
+    rng = np.random.default_rng(21)
+    fresh = lambda n: [b"x%d" % v for v in rng.integers(0, 10**9, n)]
+    p, q = fresh(60), fresh(60)
+    changed = lambda w: w[:30] + [b"changed"] + w[31:]
+    a = b" ".join(fresh(20) + changed(p) + changed(q) + fresh(20))
+    for b in (fresh(9) + p + fresh(200) + q, p + fresh(6) + q, fresh(9) + q + p + fresh(9), q + fresh(30) + p):
+        rows = passages.shared_passages(a, b" ".join(b), 50, 0.8)
+        for start in (20, 80):
+            assert any(s <= start + 1 and start + 59 <= e for s, e, *_ in rows), rows
+        for s, e, s2, e2, j in rows:
+            one, two = (set(passages.shingle_strings(x)) for x in (a.split()[s:e], b[s2:e2]))
+            assert j == len(one & two) / len(one | two) >= 0.8
+    assert passages.shared_passages(a, a, 50, 0.8) == [(0, 160, 0, 160, 1.0)]
+
+
 def test_models_on_held_out_rows(spark):
     sf = SMALL.replace("0.001", "0.01")
     labels = common.read(spark, sf, "labels")
