@@ -269,6 +269,21 @@ def test_passages_one_after_the_other_in_one_text_only():
     assert passages.shared_passages(a, a, 50, 0.8) == [(0, 160, 0, 160, 1.0)]
 
 
+def test_near_copies_of_a_text_that_is_neither_smallest_nor_open(spark):
+    """Copies with one word changed each are near the original only, which has not the smallest id and is soon covered."""
+    rng = np.random.default_rng(31)
+    docs = []
+    for family in range(12):
+        own = [f"x{v}" for v in rng.integers(0, 10**9, 60)]
+        docs.append((family * 100 + 50, " ".join(own)))
+        for i, at in enumerate(range(13, 47, 3)):
+            docs.append((family * 100 + i, " ".join(own[:at] + [f"changed{family}-{i}"] + own[at + 1 :])))
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r.doc_id // 100 == r.match_doc_id // 100 for r in rows)
+    caught = {r.doc_id for r in rows} | {r.match_doc_id for r in rows}
+    assert len(caught) >= 0.95 * len(docs)
+
+
 def test_models_on_held_out_rows(spark):
     sf = SMALL.replace("0.001", "0.01")
     labels = common.read(spark, sf, "labels")
