@@ -284,6 +284,24 @@ def test_near_copies_of_a_text_that_is_neither_smallest_nor_open(spark):
     assert len(caught) >= 0.95 * len(docs)
 
 
+def test_passage_at_a_later_place_of_the_smallest_text(spark):
+    """The smallest text has a common line twice, the second time in the passage that one other text repeats."""
+    rng = np.random.default_rng(41)
+    fresh = lambda n: [f"x{v}" for v in rng.integers(0, 10**9, n)]
+    docs, want = [], set()
+    for family in range(12):
+        line, tail = fresh(40), fresh(12)
+        docs.append((family * 100, " ".join(fresh(70) + line + fresh(70) + line + tail + fresh(70))))
+        docs += [(family * 100 + i, " ".join(fresh(70) + line + fresh(70))) for i in range(1, 14)]
+        docs.append((family * 100 + 50, " ".join(fresh(70) + line + tail + fresh(70))))
+        want.add((family * 100 + 50, family * 100, 180, 232))
+    docs = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    links = passages.bucket_links(passages.window_rows(docs, 50)).where("large").collect()
+    assert {r.doc for r in links if r.doc % 100 == 0 and r.c >= 180} == set(range(0, 1200, 100))
+    rows = passages.repeated_passages(docs).collect()
+    assert {(r.doc_id, r.match_doc_id, r.match_start, r.match_end) for r in rows} == want
+
+
 def test_models_on_held_out_rows(spark):
     sf = SMALL.replace("0.001", "0.01")
     labels = common.read(spark, sf, "labels")
