@@ -269,6 +269,13 @@ def slice_block(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", F.decode(O.slice_block(F.encode(body, "UTF-8"), F.lit(8)), "UTF-8").alias("block"))
 
 
+@query("slice_block_whole", "SELECT doc_id, '{' || regexp_replace(text, '[{}]', '', 'g') || '{}}' AS block FROM documents")
+def slice_block_whole(spark, sf_dir):
+    """Blocks of whole texts."""
+    body = F.concat(F.lit("skipped}"), F.lit("{"), F.regexp_replace("text", "[{}]", ""), F.lit("{}}"), F.lit("tail}"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.decode(O.slice_block(F.encode(body, "UTF-8"), F.lit(8)), "UTF-8").alias("block"))
+
+
 E2E = f"""WITH {VISITS} SELECT host, uri, 'GET' AS method, '200 OK' AS res_num, 'text/html; charset=UTF-8' AS res_type, 'reader/' || (page_id % 5) AS agent, server_ip_port, octet_length(encode(html))::BIGINT AS res_len, md5(html) AS md5, ts_us + SHIFT AS ts_us FROM v"""
 
 
