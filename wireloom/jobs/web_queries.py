@@ -242,6 +242,13 @@ def byte_entropy(spark, sf_dir):
     return table(spark, sf_dir, "benchmark").select("item_id", F.round(O.byte_entropy(F.encode("text", "UTF-8")), 6).alias("entropy"))
 
 
+@query("document_entropy", r"""WITH b AS (SELECT doc_id, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL), x AS (SELECT doc_id, substr(h, (2 * i + 1)::BIGINT, 2) AS x, length(h) / 2 AS n FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2)) AS i FROM b)),
+c AS (SELECT doc_id, x, count(*) / n AS p FROM x GROUP BY doc_id, x, n), e AS (SELECT doc_id, round(-sum(p * log2(p)), 6) AS entropy FROM c GROUP BY 1) SELECT d.doc_id, CASE WHEN d.text = '' THEN 0.0 ELSE e.entropy END AS entropy FROM documents d LEFT JOIN e USING (doc_id)""")
+def document_entropy(spark, sf_dir):
+    """The entropy of every document."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.round(O.byte_entropy(F.encode("text", "UTF-8")), 6).alias("entropy"))
+
+
 @query("gzip_objects", "SELECT page_id AS id, md5(html) AS md5 FROM pages")
 def gzip_objects(spark, sf_dir):
     def zipped(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
