@@ -8,7 +8,9 @@ an id in any prefix and the place of its k-th occurrence without decoding the re
 
 from __future__ import annotations
 
+import gc
 import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -29,8 +31,10 @@ BLOCK_BITS = 512
 SHARD_TOKENS = 1 << 19
 #: Words whose ids a worker keeps.
 CACHE_WORDS = 1_600_000
-#: Marks that may end a word; an apostrophe may start a contraction and is none of them.
-MARKS = b".,;:!?"
+#: Words, a line each: ASCII signs, letters (ASCII in lower case or any others), ASCII signs; or else anything. An apostrophe in front may start a contraction.
+PARTS = re.compile(rb"(?m)^([!-&(-/:-@\[-`{-~]*)([a-z\x80-\xff]+)([!-/:-@\[-`{-~]*)$|^(.+)$")
+#: Lower-case letters of Latin-1, in UTF-8.
+LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
 #: Text bytes whose words are looked up together.
 GROUP_BYTES = 2 << 20
 END_ID = 1
@@ -39,15 +43,17 @@ END_ID = 1
 class WordEncoder:
     """Texts to ids, blank by blank: the pre-tokenizer drops white space, so words between ASCII blanks encode alone.
 
-    Right for lower-casing tokenizers that drop white space and mark the ends of words.
+    Right for lower-casing tokenizers that drop white space, never merge across the border of letters and signs, and mark the ends of words.
     """
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[bytes, bytes] = {}
+        self.tokenizer, self.bare = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        # lower-case letters of Latin-1 between blanks need no normalizer and no other split
+        self.bare.normalizer, self.bare.pre_tokenizer = None, pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
+        self.known: dict[bytes, bytes] = {b"": b""}
         vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
@@ -55,46 +61,66 @@ class WordEncoder:
     def encode_alone(self, word: bytes) -> np.ndarray:
         return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32)
 
-    def learn(self, words: list[bytes]) -> None:
-        """Makes all of words known. Words of letters alone are encoded many at a time: each ends with the one id that ends a word.
+    def learn_letters(self, words: list[bytes], tokenizer) -> list[bytes]:
+        """Makes words of letters known, many at a time: each ends with the one id that ends a word. Returns those for which that fails."""
+        failed, groups = [], [words[at : at + 256] for at in range(0, len(words), 256)]
+        for group, own in zip(groups, tokenizer.encode_batch_fast([b" ".join(g).decode() for g in groups], add_special_tokens=False)):
+            ids = np.array(own.ids, np.uint32)
+            ends = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(ends) == len(group):
+                self.known.update(zip(group, map(ids.tobytes().__getitem__, map(slice, [0, *ends], ends))))
+            else:
+                failed += group
+        return failed
 
-        A word of letters and then marks is the one and the other, as the tokenizer never merges across that border.
-        """
+    def learn(self, words: list[bytes]) -> None:
+        """Makes all of words known: a word of signs, letters and signs from its parts, any other as it is."""
         if len(self.known) + len(words) > CACHE_WORDS:
-            self.known = dict(islice(self.known.items(), len(self.known) // 2 + len(words), None))
-        parts = {w: (core, w[len(core) :]) for w in words if (core := w.rstrip(MARKS)) != w and core.decode().isalpha()}
-        new = [w for w in dict.fromkeys([x for w in words for x in parts.get(w, (w,))]) if w not in self.known]
-        plain = [w for w in new if w.decode().isalpha()]
-        for at in range(0, len(plain), 256):
-            part = plain[at : at + 256]
-            ids = self.encode_alone(b" ".join(part))
-            cuts = np.flatnonzero(self.ends[ids]) + 1
-            if len(cuts) == len(part):
-                data, ends = ids.tobytes(), (4 * cuts).tolist()
-                self.known.update(zip(part, map(data.__getitem__, map(slice, [0, *ends], ends))))
-        rest = [w for w in new if w not in self.known]
+            self.known = {b"": b""} | dict(islice(self.known.items(), len(self.known) // 2 + len(words), None))
+        known, rest, made = self.known, set(), []
+        plain = {w for w in words if w.isalpha() and w.islower()}
+        wide, mixed = set(), [w for w in words if w not in plain]
+        for w, (before, core, after, other) in zip(mixed, PARTS.findall(b"\n".join(mixed))):
+            if other or b"<|" in before or not (core.isascii() or core.decode().isalpha()):
+                rest.add(w)
+                continue
+            if core not in known:
+                (plain if core.isalpha() or LATIN.fullmatch(core) else wide).add(core)
+            if before or after:
+                made.append((w, before, core, after))
+                if before not in known:
+                    rest.add(before)
+                if after not in known:
+                    rest.add(after)
+        rest.update(self.learn_letters(list(plain), self.bare), self.learn_letters(list(wide), self.tokenizer))
+        rest = list(rest)
         for w, own in zip(rest, self.tokenizer.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False)):
-            self.known[w] = np.array(own.ids, np.uint32).tobytes()
-        for w, (core, marks) in parts.items():
-            self.known[w] = self.known[core] + self.known[marks]
+            known[w] = np.array(own.ids, np.uint32).tobytes()
+        for w, before, core, after in made:
+            known[w] = known[before] + known[core] + known[after]
 
     def encode_many(self, texts: list[bytes | None]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit integers; some texts at a time, so that each new word is looked up once."""
         out: list[bytes] = []
         lists: list[list[bytes]] = []
         size = 0
-        for i, text in enumerate(texts):
-            text = text or b""
-            lists.append((text if b"<|" in text else text.lower()).split())
-            size += len(text)
-            if size >= GROUP_BYTES or i + 1 == len(texts):
-                self.learn([w for w in set().union(*lists) if w not in self.known])
-                for words in lists:
-                    try:
-                        out.append(b"".join(map(self.known.__getitem__, words)))
-                    except KeyError:  # some were dropped to make room
-                        out.append(b"".join([self.known[w] if w in self.known else self.encode_alone(w).tobytes() for w in words]))
-                lists, size = [], 0
+        gc.disable()  # millions of words are no garbage
+        try:
+            for i, text in enumerate(texts):
+                text = text or b""
+                lists.append((text if b"<|" in text else text.lower()).split())
+                size += len(text)
+                if size >= GROUP_BYTES or i + 1 == len(texts):
+                    words = set().union(*lists)
+                    self.learn([w for w in words if w not in self.known])
+                    for x in lists:
+                        try:
+                            out.append(b"".join(map(self.known.__getitem__, x)))
+                        except KeyError:  # some were dropped to make room
+                            out.append(b"".join([self.known[w] if w in self.known else self.encode_alone(w).tobytes() for w in x]))
+                    lists, size = [], 0
+        finally:
+            gc.enable()
         return out
 
     def encode(self, text: bytes | None) -> bytes:
