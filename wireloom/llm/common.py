@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -22,12 +22,29 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def short_batches(spark: SparkSession) -> None:
-    """Keeps the Arrow batches of this session at BATCH_BYTES or less: few wide rows, many narrow ones."""
+    """Keeps the Arrow batches of this session at BATCH_BYTES or less: few wide rows, many narrow ones. A smaller setting stays."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key) != str(BATCH_BYTES):
+    now = spark.conf.get(key, None)
+    if now is None or not now.isdigit() or not 0 < int(now) <= BATCH_BYTES:
         spark.conf.set(key, str(BATCH_BYTES))
 
 
+def fresh(columns: Iterable[str], *names: str) -> list[str]:
+    """The names, each with as many underscores at its end as it takes to be none of `columns`, case ignored."""
+    taken, out = {c.lower() for c in columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def col(name: str) -> Column:
+    """The column of exactly this name, whatever characters it has."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def append_columns(
     df: DataFrame,
     inputs: Sequence[str],
@@ -37,14 +54,15 @@ def append_columns(
 ) -> DataFrame:
     """df's columns `keep` (default all) and the new fields that kernel makes of the input columns, batch by batch.
 
-    Strings among the inputs reach the kernel as UTF-8 bytes. The kernel gets one Arrow array per input and
-    returns one array per field. No shuffle.
+    A kept column with the name of a new field gives way to it. Strings among the inputs reach the kernel as UTF-8 bytes. The
+    kernel gets one Arrow array per input and returns one array per field. No shuffle.
     """
     short_batches(df.sparkSession)
-    keep = list(df.columns if keep is None else keep)
+    made = {f.name.lower() for f in fields}
+    keep = [c for c in (df.columns if keep is None else keep) if c.lower() not in made]
     types = dict(df.dtypes)
-    asked = [F.col(f"`{c}`").cast("binary") if types[c] == "string" else F.col(f"`{c}`") for c in inputs]
-    given = df.select(*[F.col(f"`{c}`") for c in keep], *[c.alias(f"__in{i}") for i, c in enumerate(asked)])
+    asked = [col(c).cast("binary") if types[c] == "string" else col(c) for c in inputs]
+    given = df.select(*[col(c) for c in keep], *[c.alias(n) for c, n in zip(asked, fresh(keep, *[f"in{i}" for i in range(len(asked))]))])
     schema = T.StructType([df.schema[c] for c in keep] + list(fields))
     n_keep, names = len(keep), [f.name for f in schema.fields]
 
@@ -66,6 +84,12 @@ def row_key(doc_id, text):
     return F.md5(F.concat_ws("\x1f", F.coalesce(doc_id.cast("string"), F.lit("-")), F.when(text.isNull(), F.lit("0")).otherwise(F.lit("1")), F.coalesce(text, F.lit(""))))
 
 
+def whole_row_key(docs: DataFrame) -> Column:
+    """A 128-bit key of a row's id, text and all its other columns: rows of the same key are alike in everything."""
+    rest = [col(c) for c in docs.columns if c not in ("doc_id", "text")]
+    return F.md5(F.concat(row_key(F.col("doc_id"), F.col("text")), F.to_json(F.struct(*rest), {"ignoreNullFields": "false"}) if rest else F.lit("")))
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser: well-spread bits from sums and products."""
     with np.errstate(over="ignore"):

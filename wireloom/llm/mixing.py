@@ -15,10 +15,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, read, row_key, written
+from .common import append_columns, col, fresh, read, row_key, whole_row_key, written
 
 BUCKETS = 4096
 MAX_EPOCHS = 3
+#: Rows of the plan that may be sent to all executors.
+MAX_BROADCAST = 100_000
+#: Copies of one row that one task makes.
+COPIES = 10_000
 IS_LETTER = np.array([c >= 128 or chr(c).isalpha() for c in range(256)])
 
 
@@ -86,13 +90,34 @@ def mix_plan(docs: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
 
 
 def mixed(docs: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """docs, whole rows, each as often as the mix takes it. Columns stay as they are, whatever their names."""
-    plan = mix_plan(docs, max_epochs).select(F.col("row_key").alias("__row_key"), F.col("source").alias("__source"), (F.col("rows") * F.col("epochs") + F.col("extra")).alias("__times")).where("__times > 0")
-    tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit(""))
-    plan = plan.withColumn("__tag", tag("__source")).drop("__source")
-    rows = docs.withColumns({"__row_key": row_key(F.col("doc_id"), F.col("text")), "__tag": tag("source")})
-    rows = rows.join(plan, ["__row_key", "__tag"]).dropDuplicates(["__row_key", "__tag"])
-    return rows.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
+    """docs, whole rows, each as often as the mix takes it. Columns stay as they are, whatever their names.
+
+    Rows alike in doc_id, text and source are taken equally often. Where the budget ends among them, those with the
+    smaller hash of all columns come first; rows alike in everything need no order, they are counted.
+    """
+    key, tag, times, rows_of, extra, epochs, place, n = fresh(docs.columns, "row_key", "tag", "times", "rows", "extra", "epochs", "place", "n")
+    tagged = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit(""))
+    plan = mix_plan(docs, max_epochs).select(F.col("row_key").alias(key), tagged(F.col("source")).alias(tag), F.col("rows").alias(rows_of), F.col("epochs").alias(epochs), F.col("extra").alias(extra)).where(F.col(epochs) + F.col(extra) > 0)
+    plan = written(plan, "mix-plan")
+    keyed = docs.withColumns({key: row_key(F.col("doc_id"), F.col("text")), tag: tagged(F.col("source"))})
+    own = [col(c) for c in docs.columns]
+    even = plan.where((F.col(extra) == 0) | (F.col(extra) == F.col(rows_of))).select(key, tag, (F.col(epochs) + F.when(F.col(extra) > 0, 1).otherwise(0)).alias(times))
+    out = keyed.join(even, [key, tag]).where(F.col(times) > 0).withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.col(times)))).select(*own)
+    # at most one place a source, where its budget ends
+    ends = plan.where((F.col(extra) > 0) & (F.col(extra) < F.col(rows_of)))
+    n_ends = ends.count()
+    if not n_ends:
+        return out
+    uneven = keyed.join(F.broadcast(ends) if n_ends <= MAX_BROADCAST else ends, [key, tag])
+    row, = fresh(docs.columns, "row")
+    alike = uneven.withColumn(place, whole_row_key(docs)).groupBy(key, tag, place, epochs, extra).agg(F.first(F.struct(*own)).alias(row), F.count(F.lit(1)).alias(n))
+    ahead = Window.partitionBy(key, tag).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    more = F.greatest(F.lit(0), F.least(F.col(extra) - F.coalesce(F.sum(n).over(ahead), F.lit(0)), F.col(n)))
+    alike = alike.withColumn(times, F.col(n) * F.col(epochs) + more).where(F.col(times) > 0)
+    # many copies of one row are made by many tasks
+    parts = alike.withColumn(n, F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col(times) - 1) / COPIES)))).repartition(key, tag, place, n)
+    parts = parts.withColumn(n, F.explode(F.sequence(F.lit(1).cast("long"), F.least(F.lit(COPIES).cast("long"), F.col(times) - COPIES * F.col(n)))))
+    return out.unionByName(parts.select(F.col(f"{row}.*")))
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
