@@ -17,11 +17,11 @@ from math import comb, lgamma, exp
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import append_columns, components, read, row_key, written
+from .common import append_columns, components, fresh, read, row_key, whole_row_key, written
 
 BITS = 64
 #: Fingerprints of a bucket that one group of the verification may hold; larger buckets are dealt into pairs of blocks.
@@ -222,8 +222,8 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     """
     n, joint = bit_statistics(fps)
     rows = probe_rows(fps, plan_probes(n, joint, radius))
-    w = Window.partitionBy("key")
-    rows = rows.withColumns({"n": F.count(F.lit(1)).over(w), "n_own": F.count(F.when(F.col("own"), 1)).over(w)}).where("n > 1 and n_own > 0")
+    sizes = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("own"), 1)).alias("n_own")).where("n > 1 and n_own > 0").select("key", "n")
+    rows = rows.join(sizes, "key")
     nb = F.ceil(F.col("n") / BLOCK).cast("int")
     rows = rows.select("key", "fp", "own", nb.alias("nb"), F.pmod(F.xxhash64("fp"), nb.cast("long")).cast("int").alias("b"))
     rows = rows.select("key", "fp", "own", "b", F.explode(F.when(F.col("nb") > 1, F.sequence(F.lit(0), F.col("nb") - 1)).otherwise(F.array(F.lit(0)))).alias("c"))
@@ -253,16 +253,16 @@ def fingerprint_links(fps: DataFrame, radius: int = 3) -> DataFrame:
     return rows.mapInArrow(run, "u long, v long")
 
 
-def near_groups(docs: DataFrame, radius: int = 3) -> DataFrame:
+def near_groups(docs: DataFrame, radius: int = 3, key: Column | None = None) -> DataFrame:
     """Fingerprints and groups of near-duplicate documents.
 
-    docs needs doc_id (integer) and text. Returns, per row of docs: doc_id, row_key (of id and text), fp (long), root
-    (long: smallest linked fingerprint, as signed), component_id (smallest doc_id of the group; null only if all its
+    docs needs doc_id (integer) and text. Returns, per row of docs: doc_id, row_key (`key`, by default of id and text), fp
+    (long), root (long: smallest linked fingerprint, as signed), component_id (smallest doc_id of the group; null only if all its
     ids are null). Null texts and texts without words have fingerprint 0 and are linked like any other. Equal
     fingerprints are one node, so exact copies, however many, cost one row after a combined aggregate. Rows that
     repeat keep one output row each. An empty table gives an empty result.
     """
-    slim = docs.select("doc_id", "text").withColumn("row_key", row_key(F.col("doc_id"), F.col("text")))
+    slim = docs.select("doc_id", "text", (row_key(F.col("doc_id"), F.col("text")) if key is None else key).alias("row_key"))
     rows = written(with_fingerprint(slim, keep=["doc_id", "row_key"]), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
     roots = components(fingerprint_links(nodes.select("fp"), radius), "simhash-links")
@@ -274,14 +274,16 @@ def near_groups(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def first_of_each_group(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """docs, whole rows, with one document of each near-duplicate group: that of the smallest doc_id (of rows with the same id, the one with the smallest key).
+    """docs, whole rows, with one row of each near-duplicate group: that of the smallest doc_id, of rows with the same id the one with the smallest hash of all columns.
 
     Columns of docs stay as they are, whatever their names.
     """
-    groups = near_groups(docs, radius)
-    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row_key").alias("__row_key"))
-    keyed = docs.withColumn("__row_key", row_key(F.col("doc_id"), F.col("text")))
-    return keyed.join(kept.select("__row_key"), "__row_key", "left_semi").dropDuplicates(["__row_key"]).drop("__row_key")
+    groups = near_groups(docs, radius, whole_row_key(docs))
+    key, = fresh(docs.columns, "row_key")
+    kept = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("row_key").alias(key))
+    keyed = docs.withColumn(key, whole_row_key(docs))
+    # what repeats a key repeats the whole row
+    return keyed.join(kept.select(key), key, "left_semi").dropDuplicates([key]).drop(key)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
