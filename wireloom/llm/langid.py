@@ -7,6 +7,7 @@ false positives (its share of set slots to the power of the number of hashes); t
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +25,7 @@ MIN_SHARE = 5e-5
 MIN_RELATIVE = 0.2
 #: Characters worked on at once.
 BLOCK_CHARS = 1 << 19
+NO_LETTER = re.compile(r"[\W\d_]")
 _letters: list[np.ndarray] = []
 
 
@@ -37,7 +39,7 @@ def letters() -> np.ndarray:
 def trigram_blocks(texts: list[bytes | None], owners: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(trigrams, owner of each) block by block: lower-case letters with runs of anything else as one blank, the middle one a letter.
 
-    A longer text is cut at BLOCK_CHARS with an overlap of two characters, so memory stays bounded whatever a text's length.
+    A longer text is cut after BLOCK_CHARS where no letter stands, so the pieces have its trigrams and no others.
     """
     pieces: list[str] = []
     whose: list[int] = []
@@ -58,8 +60,11 @@ def trigram_blocks(texts: list[bytes | None], owners: list[int]) -> Iterator[tup
 
     for text, owner in zip(texts, owners):
         s = (text or b"").decode("utf-8", "replace").lower()
-        for at in range(0, max(len(s) - 2, 1), BLOCK_CHARS):
-            piece = s[at : at + BLOCK_CHARS + 2]
+        at = 0
+        while at < len(s) or not at:
+            cut = NO_LETTER.search(s, at + BLOCK_CHARS)
+            piece = s[at : cut.start() if cut else len(s)]
+            at += len(piece) or 1
             pieces.append(piece)
             whose.append(owner)
             size += len(piece) + 1
