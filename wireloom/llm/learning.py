@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +27,23 @@ def adam(gradient: Callable[[np.ndarray], np.ndarray], start: np.ndarray, steps:
 def bounded_sample(rows: DataFrame, most: int, key: str = "doc_id") -> DataFrame:
     """About `most` rows of rows, or all if there are no more: those whose hashed key is low enough. A rerun gives the same."""
     n = rows.count()
-    return rows if n <= most else rows.where(F.pmod(F.xxhash64(F.col(key), F.lit("sample")), F.lit(1_000_000)) < int(1_000_000 * most / n))
+    return rows if n <= most else rows.where(F.shiftrightunsigned(F.xxhash64(F.col(key), F.lit("sample")), 11) < int(most / n * (1 << 53)))
+
+
+def summed(rows: DataFrame, kernel: Callable[[pa.RecordBatch], np.ndarray], width: int) -> np.ndarray:
+    """The sum over all rows of the vectors of `width` that kernel makes of batches: each task adds up its own, Spark those of the tasks, the driver gets one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(width)
+        for b in batches:
+            if b.num_rows:
+                total += kernel(b)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(width)), pa.array(total)], names=["k", "v"])
+
+    out = np.zeros(width)
+    for r in rows.mapInArrow(run, "k long, v double").groupBy("k").agg(F.sum("v").alias("v")).collect():
+        out[r.k] = r.v
+    return out
 
 
 class SparseRows:
@@ -42,6 +59,13 @@ class SparseRows:
         more.n, more.col, more.row = self.n, self.col, self.row
         return more
 
+    def only(self, allowed: np.ndarray) -> SparseRows:
+        """The rows without the features that are not allowed, in the same places."""
+        less = SparseRows([], self.dense, self.width)
+        keep = allowed[self.col]
+        less.n, less.col, less.row = self.n, self.col[keep], self.row[keep]
+        return less
+
     def scores(self, w: np.ndarray) -> np.ndarray:
         z = np.bincount(self.row, w[self.col], self.n) if len(self.col) else np.zeros(self.n)
         return z + self.dense @ w[self.width : -1] + w[-1]
