@@ -13,7 +13,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from wireloom.llm import chat, common, decontam, langid, passages, simhash, tokens
+from wireloom.llm import chat, common, decontam, langid, mixing, passages, quality_model, simhash, tokens, toxicity
 from wireloom.llm.queries import ORACLE_SQL, QUERIES
 
 from ..conftest import SMALL, same_rows
@@ -302,6 +302,141 @@ def test_passage_at_a_later_place_of_the_smallest_text(spark):
     assert {(r.doc_id, r.match_doc_id, r.match_start, r.match_end) for r in rows} == want
 
 
+@pytest.mark.parametrize(("words", "changed"), [(50, 1), (60, 1), (100, 2), (150, 3)])
+def test_recall_of_near_passages(spark, words, changed):
+    """Passages in two texts with as many words replaced as a similarity of 0.8 allows: 9 of 10 or more are found, whole at either end but for a word or two."""
+    rng, docs = np.random.default_rng(words), []
+    fresh = lambda n: [f"x{v}" for v in rng.integers(0, 10**9, n)]
+    for i in range(100):
+        own = fresh(words)
+        docs.append((2 * i, " ".join(fresh(60) + own + fresh(60))))
+        for k in range(changed):
+            own[int(words * (k + 1) / (changed + 1)) + int(rng.integers(-4, 5))] = f"c{i}-{k}"
+        docs.append((2 * i + 1, " ".join(fresh(70) + own + fresh(40))))
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert all(r.doc_id == r.match_doc_id + 1 and r.doc_id % 2 for r in rows)
+    found = {r.doc_id for r in rows if r.start_word <= 72 and r.end_word >= 70 + words - 2}
+    assert len(found) >= 90
+
+
+def test_near_copies_of_large_groups_are_one_class(spark):
+    """150 copies with two of 100 words replaced; the one that all are near to is neither first nor open for long. Links join them all."""
+    rng, docs, edges = np.random.default_rng(77), [], []
+    fresh = lambda n: [f"x{v}" for v in rng.integers(0, 10**9, n)]
+    for family in range(3):
+        base = fresh(100)
+        for i in range(150):
+            own = list(base)
+            for at in rng.choice(np.arange(5, 95), 2, replace=False) if i != 70 else ():
+                own[at] = f"c{family}-{i}-{at}"
+            docs.append((family * 1000 + i, " ".join(fresh(60) + own + fresh(60))))
+    for r in passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect():
+        edges.append((r.doc_id, r.match_doc_id))
+    roots = union(edges, [d for d, _ in docs])
+    assert sum(roots[d] == d // 1000 * 1000 for d, _ in docs) >= 0.98 * len(docs) and len(edges) < 30 * len(docs)
+
+
+def test_buckets_too_large_to_hold(spark, monkeypatch):
+    """Buckets are taken in parts and what has no partner in its part is dealt by groups: the same texts are found."""
+    rng, docs = np.random.default_rng(5), []
+    fresh = lambda n: [f"x{v}" for v in rng.integers(0, 10**9, n)]
+    line = fresh(30)
+    for i in range(120):
+        docs.append((i, " ".join(fresh(60) + line + fresh(60))))
+    for i in range(30):
+        own = line + fresh(30)
+        docs += [(1000 + i, " ".join(fresh(50) + own + fresh(50))), (2000 + i, " ".join(fresh(55) + own + fresh(45)))]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    whole = {(r.doc_id, r.match_doc_id) for r in passages.repeated_passages(table).collect()}
+    assert {(2000 + i, 1000 + i) for i in range(30)} <= whole
+    run = passages.bucket_links
+
+    def small(rows):
+        monkeypatch.setattr(passages, "HOT", 40)
+        return run(rows)
+
+    monkeypatch.setattr(passages, "bucket_links", small)
+    rows = passages.repeated_passages(table).collect()
+    assert {(2000 + i, 1000 + i) for i in range(30)} <= {(r.doc_id, r.match_doc_id) for r in rows}
+
+
+def test_items_of_many_blocks(spark):
+    """Blocks of items give what one block gives, in pairs and in documents that stay."""
+    rng = np.random.default_rng(13)
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 3000, 10))) for i in range(120)] + [(5, "twice the same item")] * 2
+    docs = [(k, " ".join([" ".join(f"v{x}" for x in rng.integers(0, 3000, 30))] + [items[j][1] for j in range(k % 4)]), k) for k in range(40)] + [(1, None, 0), (1, "", 1)]
+    d, b = spark.createDataFrame(docs, "doc_id long, text string, n long"), spark.createDataFrame(items, "item_id long, text string")
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(decontam.contaminated(d, b)) == rows(decontam.contaminated(d, b, block_chars=900)) != []
+    assert rows(decontam.clean_documents(d, b)) == rows(decontam.clean_documents(d, b, block_chars=900)) and decontam.clean_documents(d, b).count() == 12
+
+
+def test_prior_from_positives_and_unlabelled_rows(spark):
+    """Mixtures of two kinds of texts with a known share: the estimate is near it, and the model tells the kinds apart without a negative label."""
+    rng = np.random.default_rng(2)
+    good = lambda: " ".join("".join(chr(97 + int(c)) for c in rng.integers(0, 26, rng.integers(2, 9))) for _ in range(80))
+    bad = lambda: " ".join("#$%"[int(rng.integers(3))] * int(rng.integers(1, 9)) for _ in range(80))
+    for share in (0.3, 0.7):
+        docs = [(i, good() if i < 600 * share else bad()) for i in range(600)]
+        stats = quality_model.with_statistics(spark.createDataFrame(docs, "doc_id long, text string"), ["doc_id"])
+        labels = spark.createDataFrame([(i, 1) for i in range(0, int(600 * share), 2)], "doc_id long, quality int")
+        x = np.array([r.x for r in stats.orderBy("doc_id").collect()])
+        first = quality_model.fit_nnpu(x[: int(600 * share) : 4], stats, quality_model.QualityModel(*quality_model.moments(stats), np.zeros(29)), 0.5)
+        assert abs(quality_model.estimated_prior(x[2 : int(600 * share) : 4], stats, first) - share) < 0.12
+        score = quality_model.learn_quality(stats, labels).score(x)
+        assert (score[: int(600 * share)] > 0.5).mean() > 0.95 and (score[int(600 * share) :] < 0.5).mean() > 0.95
+
+
+def test_moments_are_those_of_all_rows(spark):
+    stats = quality_model.with_statistics(common.read(spark, SMALL, "documents"), ["doc_id"])
+    x = np.array([r.x for r in stats.collect()])
+    mean, sd = quality_model.moments(stats)
+    assert np.allclose(mean, x.mean(axis=0)) and np.allclose(sd, np.maximum(x.std(axis=0), 1e-3), atol=1e-6)
+
+
+def test_mixing_order_against_brute_force(spark):
+    """What a source's fraction takes are the documents of the smallest keys -ln(u) / w, up to its budget."""
+    import math
+
+    docs = common.read(spark, SMALL, "documents")
+    keys = mixing.sized(docs).withColumn("tag", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
+    keys = keys.select("doc_id", "source", "size", "weight", "row_key", F.shiftrightunsigned(F.xxhash64("row_key", "tag"), 11).alias("h")).distinct()
+    plan = {(r.doc_id, r.source): r for r in mixing.mix_plan(docs).collect()}
+    by_source = defaultdict(list)
+    for r in keys.collect():
+        by_source[r.source].append((-math.log((r.h + 0.5) / (1 << 53)) / r.weight, r.row_key, r.doc_id, r.size))
+    for source, rows in by_source.items():
+        first = plan[rows[0][2], source]
+        rest = first.target - first.epochs * first.source_size
+        gone = 0
+        for _, _, doc, size in sorted(rows):
+            n = plan[doc, source]["rows"]
+            want = 0 if not size else max(0, min(n, math.floor((2 * (rest - gone) + size) / (2 * size))))
+            assert plan[doc, source].extra == want
+            gone += size * n
+
+
+def test_out_of_fold_features_have_not_seen_the_fold(spark):
+    rows = spark.createDataFrame([(f"common word{i % 7} " + ("poison " if i % 2 else "") + f"only{i % 5}", i % 2, i % 5) for i in range(200)], "text string, label int, fold int")
+    counts = toxicity.feature_counts(rows).cache()
+    got = {r.h: r for r in counts.collect()}
+    h = {w: toxicity.WordHashes()[w][0] for w in ("poison", "common")}
+    assert sum(got[h["poison"]][f"yes{f}"] for f in range(5)) == 100 and sum(got[h["poison"]][f"no{f}"] for f in range(5)) == 0
+    assert sum(got[None][f"yes{f}"] + got[None][f"no{f}"] for f in range(5)) == 200
+    every, *without = toxicity.telling_features(counts)
+    only = {f: set(np.array(toxicity.WordHashes()[f"only{f}"][:1])) for f in range(5)}
+    assert all(not only[f] & set(without[f][0].tolist()) and only[f] <= set(every[0].tolist()) for f in range(5))
+
+
+def test_models_on_held_out_rows_only(spark):
+    sf = SMALL.replace("0.001", "0.1")
+    labels = common.read(spark, sf, "labels")
+    q = QUERIES["op6_quality"](spark, sf).where("held_out").join(labels, "doc_id").collect()
+    assert np.mean([r.predicted == r.quality for r in q]) > 0.95
+    t = QUERIES["op7_toxicity"](spark, sf).where("held_out").join(labels.withColumnRenamed("toxic", "y"), "doc_id").collect()
+    assert np.mean([r.toxic == r.y for r in t]) > 0.97 and np.mean([r.toxic for r in t if r.y == 0]) < 0.02
+
+
 def test_models_on_held_out_rows(spark):
     sf = SMALL.replace("0.001", "0.01")
     labels = common.read(spark, sf, "labels")

@@ -68,8 +68,8 @@ def test_chat(spark):
 def test_models(spark, docs, empty):
     labels = spark.createDataFrame([(5, 1, 0), (5, 1, 0), (7, 0, 1), (None, 1, 1), (8, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
     for lab, base in ((labels, docs), (labels.limit(0), docs), (labels, empty)):
-        model = quality_model.learn_quality(base, lab)
-        assert all(0 <= r.q <= 1 for r in quality_model.with_quality(docs, model, keep=["doc_id"], out="q").collect())
+        model = quality_model.learn_quality(quality_model.with_statistics(base, ["doc_id"]), lab)
+        assert all(0 <= r.q <= 1 for r in quality_model.with_quality(quality_model.with_statistics(docs, ["doc_id"]), model, ["doc_id"], out="q").collect())
         chain = toxicity.learn_chain(base, lab)
         got = toxicity.with_toxicity(docs, chain, keep=["doc_id"]).collect()
         assert len(got) == len(ROWS) and all(0 <= r.p_toxic <= 1 for r in got)
@@ -97,6 +97,70 @@ def test_passages(docs, empty):
     assert passages.repeated_passages(empty).count() == 0
 
 
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, row_key string, tag string, times long, clean string, lang_pred string, score double, in0 string, fp long, block int, key string"
+NAMED = [(1, "the same words in one row and the other " * 3, lang, "a", n, "k", "t", 7, "c", "p", 0.5, "i", 3, 4, "y") for lang, n in (("en", 10), ("de", 20), ("de", 20))]
+NAMED += [(2, "quite something else that is written here once and for all", "en", "a", 5, None, None, None, None, None, None, None, None, None, None), (3, "noch ein anderer Text auf Deutsch, der hier steht", "de", "b", 6, "k", "t", 7, "c", "p", 0.5, "i", 3, 4, "y")]
+
+
+def test_columns_with_the_names_of_inner_ones(spark, tmp_path):
+    "Stages keep all columns and values whatever their names; rows alike in id and text only are different rows."
+    docs = spark.createDataFrame(NAMED, CLASH)
+    spark.createDataFrame([(1, "not in any of these texts at all")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    plain = lambda rows: sorted(map(str, (tuple(r) for r in rows.collect())))
+    given = plain(docs)
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        out = stage(spark, docs, str(tmp_path))
+        assert out.columns == docs.columns and out.dtypes == docs.dtypes, name
+        assert set(plain(out)) <= set(given), name
+    for stage in ("language", "decontamination"):
+        assert plain(dict(corpus_pipeline.STAGES)[stage](spark, docs, str(tmp_path))) == given
+    kept = plain(simhash.first_of_each_group(docs))
+    assert kept == plain(simhash.first_of_each_group(docs.repartition(3))) and len(kept) == 3
+    scored = langid.with_language(docs, langid.learn_filter(langid.training_rows(docs)))
+    assert scored.columns.count("lang_pred") == 1 and scored.count() == len(NAMED) and "p" not in {r.lang_pred for r in scored.collect()}
+
+
+def test_mixing_keeps_rows_alike_in_id_and_text(spark):
+    docs = spark.createDataFrame(NAMED + [(9, "filler " * 400, "en", "c", n, *[None] * 10) for n in range(3)], CLASH)
+    times = lambda rows: sorted((r.doc_id, r.lang, r.n_chars, r["count"]) for r in rows.groupBy("doc_id", "lang", "n_chars").count().collect())
+    plan = {(r.doc_id, r.source): r for r in mixing.mix_plan(docs).collect()}
+    out = times(mixing.mixed(docs))
+    for key in plan:
+        r = plan[key]
+        assert sum(n for d, _, _, n in out if d == key[0]) == r["rows"] * r.epochs + r.extra
+    assert out == times(mixing.mixed(docs.repartition(5)))
+    assert {(d, lang, n) for d, lang, n, _ in out if d == 1} == {(1, "en", 10), (1, "de", 20)} or plan[1, "a"].epochs == 0
+
+
+def test_mixing_ends_among_rows_alike(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "COPIES", 2)
+    rows = [(1, "one two three four", "a", n % 2) for n in range(9)] + [(2, "five six seven", "b", 0)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, n long")
+    plan = {r.doc_id: r for r in mixing.mix_plan(docs).collect()}
+    got = [r.n for r in mixing.mixed(docs).where("doc_id = 1").collect()]
+    assert 0 < plan[1].extra < 9 and len(got) == 9 * plan[1].epochs + plan[1].extra
+    want = lambda n, k: k * plan[1].epochs <= got.count(n) <= k * (plan[1].epochs + 1)
+    assert want(0, 5) and want(1, 4)
+
+
+def test_texts_of_millions_of_characters(spark):
+    """Texts that every operator takes in several blocks: equal ones are found equal, a passage at the far end is found, counts are whole."""
+    long = " ".join(f"wort{i * 7919 % 100003}" for i in range(230_000))
+    tail = " ".join(f"ende{i}" for i in range(80))
+    docs = spark.createDataFrame([(1, long + " " + tail, "de", "a", 0, "x", 0.5), (2, long + " " + tail, "de", "a", 0, "x", 0.5), (3, tail, "de", "b", 0, "x", 0.5)], DOCS)
+    assert len(long) > 2_000_000
+    assert {r.lang_pred for r in langid.with_language(docs, langid.learn_filter(docs.select("lang", "text"))).collect()} == {"de"}
+    groups = {r.doc_id: r.component_id for r in simhash.near_groups(docs).collect()}
+    assert groups[1] == groups[2] == 1
+    assert {r.doc_id: r.n_words for r in quality_rules.host_rules(docs).collect()} == {1: 230_080, 2: 230_080, 3: 80}
+    items = spark.createDataFrame([(7, " ".join(tail.split()[20:60]))], "item_id long, text string")
+    assert sorted((r.doc_id, r.item_id) for r in decontam.contaminated(docs, items).collect()) == [(1, 7), (2, 7), (3, 7)]
+    sizes = {r.doc_id: r.n_tokens for r in tokens.encode_and_read_back(docs).collect()}
+    assert sizes[1] == sizes[2] > 230_080 and sizes[3] > 80
+    found = {(r.doc_id, r.start_word, r.end_word, r.match_doc_id, r.match_start, r.match_end) for r in passages.repeated_passages(docs).collect()}
+    assert (2, 0, 230_080, 1, 0, 230_080) in found and (3, 0, 80, 1, 230_000, 230_080) in found
+
+
 def test_pipeline_stages(spark, docs, empty, tmp_path):
     spark.createDataFrame([(1, "quite another text than any of these here")], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     for table in (docs, empty):
