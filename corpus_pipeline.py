@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from wireloom.llm.common import read, written
+from wireloom.llm.common import col, fresh, read, written
 from wireloom.llm.decontam import clean_documents
 from wireloom.llm.langid import learn_filter, training_rows, with_language
 from wireloom.llm.mixing import mixed
@@ -17,8 +17,9 @@ MIN_LANGUAGE_SCORE = 0.2
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in a language learned from docs stay; null texts and texts without letters or in no known language go."""
-    scored = with_language(docs, learn_filter(training_rows(docs)), lang="__lang", score="__score")
-    return scored.where((scored["__lang"] != "und") & (scored["__score"] >= MIN_LANGUAGE_SCORE)).select(*docs.columns)
+    lang, score = fresh(docs.columns, "lang_pred", "score")
+    scored = with_language(docs, learn_filter(training_rows(docs)), lang=lang, score=score)
+    return scored.where((scored[lang] != "und") & (scored[score] >= MIN_LANGUAGE_SCORE)).select(*[col(c) for c in docs.columns])
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

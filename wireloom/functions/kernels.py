@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import base64
 import io
 import re
 import struct
@@ -34,31 +35,38 @@ def dechunk(raw: bytes) -> bytes:
     return b"".join(out)
 
 
-def _inflate(raw: bytes, wbits: int) -> bytes | None:
+def inflated(raw: bytes, wbits: int, limit: int = MAX_INFLATED) -> tuple[bytes | None, bool]:
+    """(bytes, whether they are all): None for bytes that are no such stream; what comes before the limit or a cut is given as part."""
+    d = zlib.decompressobj(wbits)
     try:
-        d = zlib.decompressobj(wbits)
-        return d.decompress(raw, MAX_INFLATED)
+        plain = d.decompress(raw, limit)
     except zlib.error:
-        return None
+        return None, False
+    return plain, d.eof
+
+
+def ungzipped(raw: bytes, limit: int = MAX_INFLATED) -> tuple[bytes | None, bool]:
+    """inflated() of bytes that start as gzip and are longer than 10; others as they are, whole."""
+    return inflated(raw, 31, limit) if raw[:3] == b"\x1f\x8b\x08" and len(raw) > 10 else (raw, True)
 
 
 def gunzip(raw: bytes) -> bytes | None:
-    return _inflate(raw, 31) if raw[:3] == b"\x1f\x8b\x08" and len(raw) > 10 else raw
+    return ungzipped(raw)[0]
 
 
-def framed(body: bytes | None, length: int | None, chunked: bool | None) -> tuple[bytes | None, bytes | None, int | None]:
-    """(body by its framing, the same without gzip, length): chunked, or length bytes, or, for length 0, the rest up to MAX_BODY."""
+def framed(body: bytes | None, length: int | None, chunked: bool | None, limit: int = MAX_INFLATED) -> tuple[bytes | None, bytes | None, int | None, bool | None]:
+    """(body by its framing, the same without gzip, length, whether gzip was cut short): chunked, or length bytes, or, for length 0, the rest up to MAX_BODY."""
     if body is None:
-        return None, None, None
+        return None, None, None, None
     own = dechunk(body) if chunked else body[: length or MAX_BODY]
-    plain = gunzip(own)
+    plain, whole = ungzipped(own, limit)
     size = len(plain) if chunked and not length and plain is not None else len(own)
-    return own, plain, size
+    return own, plain, size, plain is not None and not whole
 
 
 def inflate(raw: bytes) -> bytes | None:
-    plain = _inflate(raw, 15)
-    return _inflate(raw, -15) if plain is None else plain
+    plain = inflated(raw, 15)[0]
+    return inflated(raw, -15)[0] if plain is None else plain
 
 
 def decode(body: bytes | None, charset: str | None) -> str | None:
@@ -86,11 +94,12 @@ def end_of_block(body: bytes, offset: int) -> bytes | None:
 
 def find_pattern(text: str, pattern: re.Pattern) -> list[tuple[int, int, str, str, str]]:
     """(line from 1, offset, before, match, after) of every match, with SHOW_AROUND characters of context but no line ends."""
-    clean = str.maketrans("", "", "\r\n")
-    return [
-        (text.count("\n", 0, m.start()) + 1, m.start(), text[max(m.start() - SHOW_AROUND, 0) : m.start()].translate(clean), m.group(), text[m.end() : m.end() + SHOW_AROUND].translate(clean))
-        for m in pattern.finditer(text)
-    ]
+    clean, out, line, counted = str.maketrans("", "", "\r\n"), [], 1, 0
+    for m in pattern.finditer(text):
+        line += text.count("\n", counted, m.start())
+        counted = m.start()
+        out.append((line, m.start(), text[max(m.start() - SHOW_AROUND, 0) : m.start()].translate(clean), m.group(), text[m.end() : m.end() + SHOW_AROUND].translate(clean)))
+    return out
 
 
 class _Sources(HTMLParser):
@@ -148,31 +157,73 @@ def unpack_packed(code: str) -> str | None:
     return re.sub(r"\b\w+\b", put_back, payload.replace("\\\\", "\\").replace("\\'", "'"))
 
 
+def quoted_items(code: str, at: int) -> tuple[list[str], int] | None:
+    """(string literals, place after the bracket) of a list of double-quoted strings whose opening bracket stands at `at`; None if it is none."""
+    items: list[str] = []
+    at += 1
+    while at < len(code):
+        c = code[at]
+        if c == "]":
+            return items, at + 1
+        if c == '"':
+            end = at + 1
+            while end < len(code) and code[end] != '"':
+                end += 2 if code[end] == "\\" else 1
+            if end >= len(code):
+                return None
+            items.append(code[at : end + 1])
+            at = end
+        elif c not in ", \t\r\n":
+            return None
+        at += 1
+    return None
+
+
 def unpack_string_array(code: str) -> str | None:
-    """Script that starts with `var _0x.. = ["..", ..];`: the array's strings in place of its elements."""
-    m = re.search(r"var (_0x[a-f\d]+) ?= ?\[(.*?)\];", code)
-    if not m:
+    """Script that declares a list of strings under a name that starts with _0x and uses them by index: each use gives way to its string, the declaration goes."""
+    words = code.split(None, 2)
+    if len(words) < 2 or words[0] != "var" or not words[1].startswith("_0x"):
         return None
-    strings = re.findall(r'"(?:[^"\\]|\\.)*"', m.group(2))
-    rest = code[m.end() :]
-    return re.sub(re.escape(m.group(1)) + r"\[(\d+)\]", lambda t: strings[int(t.group(1))] if int(t.group(1)) < len(strings) else t.group(), rest)
+    name, equals = words[1].split("=")[0], code.find("=")
+    at = equals + 1
+    while code[at : at + 1].isspace():
+        at += 1
+    listed = quoted_items(code, at) if equals > 0 and code[at : at + 1] == "[" else None
+    if listed is None:
+        return None
+    items, at = listed
+    pieces = code[at:].removeprefix(";").split(name + "[")
+    out = pieces[:1]
+    for piece in pieces[1:]:
+        index, bracket, rest = piece.partition("]")
+        known = bracket and index.isdecimal() and int(index) < len(items)
+        out.append(items[int(index)] + rest if known else name + "[" + piece)
+    return "".join(out)
 
 
-def unpack_reversed_base64(code: str) -> str | None:
-    """Script that evaluates a reversed base64 payload holding an escaped script."""
-    import base64
-    import binascii
+#: How the script that a reversed payload hides begins and ends.
+ESCAPED_HEAD, ESCAPED_TAIL = "var _escape='<script>", "</script>'"
 
-    name = re.search(r"eval\(\w+\(\w+\((\w+)\)\)\);", code)
-    value = name and re.search(rf"var +{re.escape(name.group(1))} *= *'(.*)';", code)
-    if not value:
+
+def unpack_reversed_base64(code: str) -> str | None:
+    """Script that keeps a payload in a variable and evaluates it through nested calls: base64 from right to left of a percent-encoded script."""
+    called = code.partition("eval(")[2]
+    name = called.partition(")")[0].rpartition("(")[2].strip()
+    if not name.isidentifier():
+        return None
+    for part in code.split("var ")[1:]:
+        left, equals, right = part.partition("=")
+        if equals and left.strip() == name and right.lstrip().startswith("'"):
+            payload = right.lstrip()[1:].partition("'")[0]
+            break
+    else:
         return None
     try:
-        plain = unquote(base64.b64decode(value.group(1)[::-1]).decode("utf-8"))
-    except (binascii.Error, UnicodeDecodeError, ValueError):
+        plain = unquote(base64.b64decode(payload[::-1]).decode("utf-8"))
+    except ValueError:
         return None
-    inner = re.search(r"^var _escape='<script>(.*)</script>'", plain, re.DOTALL)
-    return inner.group(1) if inner else None
+    end = plain.rfind(ESCAPED_TAIL)
+    return plain[len(ESCAPED_HEAD) : end] if plain.startswith(ESCAPED_HEAD) and end >= len(ESCAPED_HEAD) else None
 
 
 def pe_checksum(data: bytes, at: int) -> int:
@@ -288,3 +339,19 @@ def write_pcap(frames, link: int = 1) -> bytes:
     for ts, frame in frames:
         out += [struct.pack("<IIII", ts // 1_000_000, ts % 1_000_000, len(frame), len(frame)), frame]
     return b"".join(out)
+
+
+def write_pcapng(frames, resolution: int = 6, link: int = 1) -> bytes:
+    """A little-endian pcapng file of (microseconds, frame) with times in units of 10^-resolution seconds, or, with the top bit set, of 2^-resolution."""
+    unit = 2 ** (resolution & 0x7F) if resolution & 0x80 else 10**resolution
+
+    def block(kind: int, body: bytes) -> bytes:
+        body += b"\0" * (-len(body) % 4)
+        size = struct.pack("<I", len(body) + 12)
+        return struct.pack("<I", kind) + size + body + size
+
+    out = [block(0x0A0D0D0A, struct.pack("<IHHq", 0x1A2B3C4D, 1, 0, -1)), block(1, struct.pack("<HHIHHB3xHH", link, 0, 0, 9, 1, resolution, 0, 0))]
+    for ts, frame in frames:
+        at = ts * unit // 1_000_000
+        out.append(block(6, struct.pack("<IIIII", 0, at >> 32, at & 0xFFFFFFFF, len(frame), len(frame)) + frame))
+    return b"".join(out)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators import flow as L
@@ -86,7 +86,8 @@ e AS (SELECT *, greatest(0, coalesce(max(pos + len) OVER (PARTITION BY l_orderke
 g AS (SELECT *, max((pos > expected)::INT) OVER (PARTITION BY l_orderkey ORDER BY pos, no ROWS UNBOUNDED PRECEDING) AS gap FROM e)
 SELECT l_orderkey, l_linenumber, CASE WHEN gap = 1 THEN 0 ELSE least(len, greatest(0, pos + len - expected)) END AS kept, gap = 0 AS released FROM g""")
 def reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_linenumber") * F.lit(10_000_000).cast("long") + F.col("l_partkey")) * 100 + F.col("l_quantity").cast("long")).alias("packet_no"), (F.col("l_partkey") % 50).alias("seq"), F.col("l_quantity").cast("long").alias("len"), F.lit(None).cast("long").alias("start"))
+    s = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_linenumber") * F.lit(10_000_000).cast("long") + F.col("l_partkey")) * 100 + F.col("l_quantity").cast("long")).alias("packet_no"), (F.col("l_partkey") % 50).alias("seq"), F.col("l_quantity").cast("long").alias("len"))
+    s = s.withColumn("start", F.min("seq").over(Window.partitionBy("l_orderkey")))
     return P.reassemble(s, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "kept", "released")
 
 

@@ -67,22 +67,32 @@ def tcp_frame(src_ip: Column, sport: Column, dst_ip: Column, dport: Column, flag
     return F.concat(F.unhex(head), payload)
 
 
-def page_frames(spark: SparkSession, sf_dir: str, part: int = 1200) -> DataFrame:
-    """Pages as link frames: handshake, request, response in parts (every other one early, one repeated), close."""
+def page_frames(spark: SparkSession, sf_dir: str, part: int = 1200, odd: bool = False) -> DataFrame:
+    """Pages as link frames: handshake, request, response in parts (every other one early, one repeated), close.
+
+    odd: of five pages one is asked for by POST with `Expect: 100-continue`, its body sent after the server's 100, and
+    one is followed by another request on the same connection after the server's FIN.
+    """
     m = page_messages(spark, sf_dir)
     pages = m.groupBy("capture", "conn_no").agg(F.max(F.when(F.col("is_request"), F.col("raw"))).alias("req"), F.max(F.when(~F.col("is_request"), F.col("raw"))).alias("res"), F.max("first_ts_us").alias("ts_us"))
     none, one = F.lit(b""), lambda *x: F.struct(*[v.alias(k) for k, v in zip(("n", "up", "flags", "seq", "ack", "payload"), x)])
-    n_req, start = F.length("req").cast("long"), F.lit(1000)
+    number = F.col("conn_no").cast("string")
+    asks, again = F.lit(odd) & (F.col("conn_no") % 5 == 1), F.lit(odd) & (F.col("conn_no") % 5 == 2)
+    posted = F.concat(F.lit(b"POST"), F.substring("req", F.lit(4), F.length("req") - 5), F.encode(F.concat(F.lit("Expect: 100-continue\r\nContent-Length: "), (F.length(number) + 6).cast("string"), F.lit("\r\n\r\n")), "UTF-8"))
+    pages = pages.select("capture", "conn_no", "ts_us", "res", F.when(asks, posted).otherwise(F.col("req")).alias("req"), F.when(asks, F.lit(b"HTTP/1.1 100 Continue\r\n\r\n")).otherwise(none).alias("go_on"), F.when(asks, F.encode(F.concat(F.lit("field="), number), "UTF-8")).otherwise(none).alias("sent"), F.when(again, F.encode(F.concat(F.lit("GET /again/"), number, F.lit(" HTTP/1.1\r\nHost: again.example\r\n\r\n")), "UTF-8")).otherwise(none).alias("later"))
+    n_req, n_go, n_sent, start = F.length("req").cast("long"), F.length("go_on").cast("long"), F.length("sent").cast("long"), F.lit(1000)
     parts = F.ceil(F.length("res") / part).cast("int")
     swapped = lambda i: F.when(i.bitwiseXOR(F.lit(1)) < parts, i.bitwiseXOR(F.lit(1))).otherwise(i)
-    said = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: one((10 + swapped(i)).cast("long"), F.lit(False), F.lit(16), (start * 2 + 1 + i * part).cast("long"), (start + 1 + n_req).cast("long"), F.substring(F.col("res"), (i * part + 1).cast("int"), F.lit(part))))
+    said = F.transform(F.sequence(F.lit(0), parts - 1), lambda i: one((10 + swapped(i)).cast("long"), F.lit(False), F.lit(16), (start * 2 + 1 + n_go + i * part).cast("long"), (start + 1 + n_req + n_sent).cast("long"), F.substring(F.col("res"), (i * part + 1).cast("int"), F.lit(part))))
     L = lambda x: F.lit(x).cast("long")
-    last = (start * 2 + 1 + F.length("res")).cast("long")
+    last, heard = (start * 2 + 1 + n_go + F.length("res")).cast("long"), (start + 1 + n_req + n_sent).cast("long")
     frames = F.concat(
         F.array(one(L(0), F.lit(True), F.lit(2), L(1000), L(0), none), one(L(1), F.lit(False), F.lit(18), L(2000), L(1001), none), one(L(2), F.lit(True), F.lit(24), L(1001), L(2001), F.col("req")), one(L(3), F.lit(True), F.lit(24), L(1001), L(2001), F.col("req"))),
+        F.array(one(L(4), F.lit(False), F.lit(24), L(2001), 1001 + n_req, F.col("go_on")), one(L(5), F.lit(True), F.lit(24), 1001 + n_req, 2001 + n_go, F.col("sent"))),
         said,
-        F.array(one((12 + parts).cast("long"), F.lit(False), F.lit(17), last, (start + 1 + n_req).cast("long"), none)),
+        F.array(one((12 + parts).cast("long"), F.lit(False), F.lit(17), last, heard, none), one((13 + parts).cast("long"), F.lit(True), F.lit(24), heard, last + 1, F.col("later"))),
     )
+    frames = F.filter(frames, lambda f: ~(f["n"].isin(4, 5) | (f["n"] == 13 + parts)) | (F.length(f["payload"]) > 0))
     rows = pages.select("capture", "conn_no", "ts_us", F.explode(frames).alias("f")).select("capture", "conn_no", "ts_us", "f.*")
     client, server = F.lit("c0a80001"), F.concat(F.lit("0a0000"), hexes(F.pmod("conn_no", F.lit(7)), 1))
     cport, sport = F.lit(1024) + F.pmod("conn_no", F.lit(60000)), F.lit(80)

@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import kernels
+from ..functions.ordinals import ordinal_names
 
 #: Section names where an entry point is usual, and names of calls to warn of.
 GOOD_ENTRY_SECTIONS = (".text", ".code", "CODE", "INIT", "PAGE")
@@ -69,12 +70,18 @@ def suspicious_imports(pe: DataFrame) -> DataFrame:
     return rows.where(F.exists(F.array(*[F.lit(x) for x in ALERT_CALLS]), lambda a: F.col("name").startswith(a)))
 
 
-def imphash(imports: Column) -> Column:
-    """md5 of `library.function` in lower case, library extensions dropped, ordinals as ordN, joined by commas."""
+def imphash(imports: Column, names: dict[str, str] | None = None) -> Column:
+    """md5 of `library.function` in lower case, library extensions dropped, joined by commas.
+
+    names: `library:number` to the name of what is imported by number (functions.ordinals.ordinal_names; its libraries are
+    the default, larger tables are the caller's). A number without a name is ordN.
+    """
+    known = F.create_map(*[F.lit(x) for pair in (ordinal_names() if names is None else names).items() for x in pair])
 
     def one(i: Column) -> Column:
         lib = F.regexp_replace(F.lower(i["dll"]), r"\.(dll|ocx|sys)$", "")
-        return F.concat(lib, F.lit("."), F.coalesce(F.lower(i["name"]), F.concat(F.lit("ord"), i["ordinal"].cast("string"))))
+        number = i["ordinal"].cast("string")
+        return F.concat(lib, F.lit("."), F.lower(F.coalesce(i["name"], F.try_element_at(known, F.concat(F.lower(i["dll"]), F.lit(":"), number)), F.concat(F.lit("ord"), number))))
 
     return F.when(F.size(imports) > 0, F.md5(F.array_join(F.transform(imports, one), ",")))
 

@@ -41,11 +41,14 @@ def split_message(raw: Column) -> Column:
 
 
 def header_map(head: Column) -> Column:
-    """Header lines as a map: names in lower case, cut at the first colon, both sides trimmed; of repeats the last counts."""
+    """Header lines as a map: names in lower case, cut at the first colon, both sides trimmed; of repeats the last counts.
+
+    Lines are sorted by name and place, so that each needs a look at its neighbour only.
+    """
     lines = F.filter(F.slice(F.split(head, "\r?\n"), 2, 1000000), lambda x: F.instr(x, ":") > 0)
-    pair = F.transform(lines, lambda x: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("v")))
-    last = F.filter(F.transform(pair, lambda p, i: F.struct(p["k"].alias("k"), p["v"].alias("v"), i.alias("i"))), lambda p: ~F.exists(F.slice(pair, p["i"] + 2, F.size(pair) + 1), lambda q: q["k"] == p["k"]))
-    return F.map_from_entries(F.transform(last, lambda p: F.struct(p["k"], p["v"])))
+    named = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), i.alias("i"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("v"))))
+    last = F.zip_with(named, F.slice(named, 2, 1000000), lambda a, b: F.when(b.isNull() | (a["k"] != b["k"]), F.struct(a["k"], a["v"])))
+    return F.map_from_entries(F.filter(last, lambda x: x.isNotNull()))
 
 
 def normalize_uri(uri: Column, host: Column) -> Column:
@@ -57,10 +60,10 @@ def full_url(host: Column, uri: Column) -> Column:
     return F.when(uri.startswith("http://") | uri.startswith("https://"), uri).otherwise(F.concat(F.lit("http://"), host, uri))
 
 
-def request_columns(head: Column) -> dict[str, Column]:
-    """Columns of a request head. A request line of other than three items leaves method and uri empty."""
+def request_columns(head: Column, headers: Column | None = None) -> dict[str, Column]:
+    """Columns of a request head. A request line of other than three items leaves method and uri empty. headers: the head's map, where a column has it already."""
     line = F.split(F.regexp_replace(F.substring_index(head, "\n", 1), "\r$", ""), " ")
-    ok, headers = F.size(line) == 3, header_map(head)
+    ok, headers = F.size(line) == 3, header_map(head) if headers is None else headers
     of = lambda name: F.coalesce(F.try_element_at(headers, F.lit(name)), F.lit(""))
     return {
         "method": F.when(ok, line[0]).otherwise(F.lit("")), "uri": F.when(ok, normalize_uri(line[1], of("host"))).otherwise(F.lit("")),
@@ -69,9 +72,9 @@ def request_columns(head: Column) -> dict[str, Column]:
     }
 
 
-def response_columns(head: Column) -> dict[str, Column]:
+def response_columns(head: Column, headers: Column | None = None) -> dict[str, Column]:
     """Columns of a response head; res_num is the text after the first blank, filename that after the first = of the disposition."""
-    line, headers = F.regexp_replace(F.substring_index(head, "\n", 1), "\r$", ""), header_map(head)
+    line, headers = F.regexp_replace(F.substring_index(head, "\n", 1), "\r$", ""), header_map(head) if headers is None else headers
     of = lambda name: F.coalesce(F.try_element_at(headers, F.lit(name)), F.lit(""))
     return {
         "res_num": F.substr(line, F.instr(line, " ") + 1), "status": F.regexp_extract(line, r"^\S+ +(\d+)", 1).try_cast("int"), "redirect_to": of("location"), "res_type": of("content-type"),
@@ -88,7 +91,7 @@ def dechunk(raw: pd.Series) -> pd.Series:
 
 @F.pandas_udf(T.BinaryType())
 def gunzip(raw: pd.Series) -> pd.Series:
-    """Bytes that start as gzip and are longer than 10, inflated (up to kernels.MAX_INFLATED bytes); null if broken, others as they are."""
+    """Bytes that start as gzip and are longer than 10, inflated; null if broken, others as they are. A stream that is cut or goes on beyond kernels.MAX_INFLATED bytes gives its first part; `with_bodies` tells."""
     return raw.map(kernels.gunzip, na_action="ignore")
 
 
@@ -148,12 +151,18 @@ def pair_exchanges(messages: DataFrame, keys: list[str], order: str = "msg_no")
 
 
 def exchanges(messages: DataFrame) -> DataFrame:
-    """Messages (as packets.messages_of gives them) to conversation rows, bodies inflated where they are gzip."""
+    """Messages (as packets.messages_of gives them) to conversation rows, bodies inflated where they are gzip.
+
+    A request that expects a 100 gets the client's next run as its body, and the response after that.
+    """
     keys = ["capture", "flow_key", "conn_no"]
-    split = messages.withColumn("parts", split_message(F.col("raw"))).withColumns({"head": F.col("parts.head"), "body": F.col("parts.body")}).drop("parts", "raw")
-    m = split.select(*keys, "msg_no", "is_request", F.struct("head", "body", "client", "server", "first_ts_us", "first_packet_no").alias("m"))
-    rows = pair_exchanges(m, keys)
-    request, response = request_columns(F.col("request.head")), response_columns(F.col("response.head"))
+    head = F.when(F.col("is_request"), split_message(F.col("raw"))["head"])
+    status = F.when(~F.col("is_request"), F.regexp_extract(F.decode(F.substring("raw", 1, 64), "ISO-8859-1"), r"^HTTP/\S+ +(\d+)", 1).try_cast("int"))
+    marked = messages.withColumns({"status": status, "expects": F.coalesce(head.rlike(r"(?i)\nexpect:[ \t]*[^\s]"), F.lit(False))})
+    whole = skip_continue(marked, keys).drop("status", "expects")
+    split = whole.withColumn("parts", split_message(F.col("raw"))).select(*keys, "msg_no", "is_request", F.struct(F.col("parts.head").alias("head"), F.col("parts.body").alias("body"), "client", "server", "first_ts_us", "first_packet_no").alias("m"))
+    rows = pair_exchanges(split, keys).withColumns({"q": header_map(F.col("request.head")), "a": header_map(F.col("response.head"))})
+    request, response = request_columns(F.col("request.head"), F.col("q")), response_columns(F.col("response.head"), F.col("a"))
     rows = rows.select(
         "capture", F.col("request.server").alias("server_ip_port"), F.col("request.client").alias("client"), *[c.alias(n) for n, c in request.items() if n in ("method", "uri", "host", "referer", "req_headers")],
         F.concat(F.encode("request.head", "ISO-8859-1"), F.lit(b"\r\n\r\n"), F.col("request.body")).alias("req"), F.col("response.head").alias("res_head"), *[c.alias(n) for n, c in response.items() if n in ("res_num", "redirect_to", "res_type", "disposition_name")],
@@ -163,15 +172,18 @@ def exchanges(messages: DataFrame) -> DataFrame:
 
 
 def with_bodies(rows: DataFrame) -> DataFrame:
-    """rows with orig_resp, res_body and res_len in place of body, res_length and chunked: framing and gzip undone in one pass."""
+    """rows with orig_resp, res_body, res_len and truncated in place of body, res_length and chunked: framing and gzip undone in one pass.
+
+    truncated: the gzip stream ends early or goes on beyond kernels.MAX_INFLATED bytes, and res_body is its first part.
+    """
     kept = [c for c in rows.columns if c not in ("body", "res_length", "chunked")]
-    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("orig_resp", T.BinaryType()), T.StructField("res_body", T.BinaryType()), T.StructField("res_len", T.LongType())])
+    schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("orig_resp", T.BinaryType()), T.StructField("res_body", T.BinaryType()), T.StructField("res_len", T.LongType()), T.StructField("truncated", T.BooleanType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [kernels.framed(*x) for x in zip(*(b.column(c).to_pylist() for c in ("body", "res_length", "chunked")))]
-            cols = list(zip(*out)) if out else [[], [], []]
-            made = [pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.binary()), pa.array(cols[2], pa.int64())]
+            cols = list(zip(*out)) if out else [[]] * 4
+            made = [pa.array(c, k) for c, k in zip(cols, (pa.binary(), pa.binary(), pa.int64(), pa.bool_()))]
             yield pa.RecordBatch.from_arrays([*(b.column(c) for c in kept), *made], names=schema.names)
 
     return rows.mapInArrow(run, schema)

@@ -14,8 +14,12 @@ from ..functions import kernels
 from .http import gunzip
 
 SHOW_BYTES = 256
-ALPHABET_ESCAPED = "".join(rf"\x{ord(c):02X}" for c in "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/=")
-KINDS_PACKED = "packed"
+#: Fixed value: the base64 alphabet with its padding, as a script writes it out in escapes.
+ALPHABET_ESCAPED = (
+    r"\x41\x42\x43\x44\x45\x46\x47\x48\x49\x4A\x4B\x4C\x4D\x4E\x4F\x50\x51\x52\x53\x54\x55\x56\x57\x58\x59\x5A"
+    r"\x61\x62\x63\x64\x65\x66\x67\x68\x69\x6A\x6B\x6C\x6D\x6E\x6F\x70\x71\x72\x73\x74\x75\x76\x77\x78\x79\x7A"
+    r"\x30\x31\x32\x33\x34\x35\x36\x37\x38\x39\x2B\x2F\x3D"
+)
 
 
 def latin(body: Column) -> Column:
@@ -23,19 +27,24 @@ def latin(body: Column) -> Column:
     return F.decode(body, "ISO-8859-1")
 
 
-def objects(convs: DataFrame, derived: DataFrame | None = None) -> DataFrame:
-    """(capture, id, conv_id, type, name, value): a body object per conversation, then derived ones (capture, conv_id, type, value) numbered after them.
+def objects(convs: DataFrame, derived: DataFrame | None = None, bucket: int = 4096) -> DataFrame:
+    """(capture, id, conv_id, type, name, value): a body object per conversation, then derived ones (capture, conv_id, type, value) numbered after them by (conv_id, type).
 
-    A derived object's name is `<type>-<name>`.
+    A derived object's name is `<type>-<name>`. A conversation has at most one derived object of a type. Only keys are numbered,
+    within buckets of `bucket` conversations, after the counts of the buckets before; values are joined back.
     """
     body = convs.select("capture", "id", F.col("id").alias("conv_id"), F.lit("body").alias("type"), F.col("filename").alias("name"), F.col("res_body").alias("value"))
     if derived is None:
         return body
+    keys = derived.select("capture", "conv_id", "type").withColumn("bucket", F.floor(F.col("conv_id") / bucket))
     top = body.groupBy("capture").agg((F.max("id") + 1).alias("next_id"))
-    n = F.row_number().over(Window.partitionBy("capture").orderBy("conv_id", "type")) - 1
-    more = derived.withColumn("n", n).join(top, "capture").join(body.select("capture", "conv_id", F.col("name").alias("of")), ["capture", "conv_id"])
-    more = more.select("capture", (F.col("next_id") + F.col("n")).alias("id"), "conv_id", "type", F.concat("type", F.lit("-"), "of").alias("name"), "value")
-    return body.unionByName(more)
+    ahead = Window.partitionBy("capture").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    starts = keys.groupBy("capture", "bucket").agg(F.count(F.lit(1)).alias("n")).withColumn("start", F.coalesce(F.sum("n").over(ahead), F.lit(0))).join(top, "capture")
+    within = F.row_number().over(Window.partitionBy("capture", "bucket").orderBy("conv_id", "type")) - 1
+    ids = keys.withColumn("n_in", within).join(starts.select("capture", "bucket", (F.col("next_id") + F.col("start")).alias("start")), ["capture", "bucket"])
+    ids = ids.select("capture", "conv_id", "type", (F.col("start") + F.col("n_in")).alias("id"))
+    more = derived.join(ids, ["capture", "conv_id", "type"]).join(body.select("capture", "conv_id", F.col("name").alias("of")), ["capture", "conv_id"])
+    return body.unionByName(more.select("capture", "id", "conv_id", "type", F.concat("type", F.lit("-"), "of").alias("name"), "value"))
 
 
 def ungzip_objects(convs: DataFrame) -> DataFrame:
@@ -162,22 +171,26 @@ def type_candidates(signatures: list[tuple[str, str, str, str]]) -> list[dict]:
 def identify_type(body: Column, signatures: list[tuple[str, str, str, str]]) -> Column:
     """(name, ext) of a body: the longest prefix whose required strings, case ignored, all occur; else text or binary; empty: empty.
 
-    The few signatures are part of the expression, so nothing is joined or shuffled.
+    The few signatures are a constant of the expression, so nothing is joined or shuffled; the body's start and its
+    lower-case text are made once a row and bound to a name.
     """
-    start, low = F.hex(F.substring(body, 1, 16)), F.lower(latin(body))
-    best = None
-    for s in type_candidates(signatures):
-        ok = start.startswith(s["prefix"])
-        for word in s["required"]:
-            ok = ok & low.contains(word)
-        deep = F.substring(start, len(s["prefix"]) + 1, 2).isin(s["deep"]) if s["deep"] else F.lit(False)
-        score = 1000 * len(s["prefix"]) - F.when(deep, s["rank_deep"]).otherwise(s["rank"])
-        one = F.when(ok, F.struct(score.alias("score"), F.lit(s["name"]).alias("name"), F.lit(s["ext"]).alias("ext")))
-        best = [one] if best is None else [*best, one]
-    hit = F.greatest(*best)
-    plain = F.when(is_text(body), F.struct(F.lit("Inconclusive. Probably text").alias("name"), F.lit("TEXT").alias("ext"))).otherwise(F.struct(F.lit("Inconclusive. Probably binary").alias("name"), F.lit("BINARY").alias("ext")))
-    found = F.when(hit.isNotNull(), F.struct(hit["name"].alias("name"), hit["ext"].alias("ext"))).otherwise(plain)
-    return F.when(F.coalesce(F.length(body), F.lit(0)) == 0, F.struct(F.lit("").alias("name"), F.lit("").alias("ext"))).otherwise(found)
+    words = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<string>")
+    known = F.array(*[
+        F.struct(F.lit(s["prefix"]).alias("prefix"), F.lit(len(s["prefix"])).alias("n"), F.lit(s["name"]).alias("name"), F.lit(s["ext"]).alias("ext"), words(s["required"]).alias("required"), words(s["deep"]).alias("deep"), F.lit(s["rank"]).alias("rank"), F.lit(s["rank_deep"]).alias("rank_deep"))
+        for s in type_candidates(signatures)
+    ])
+    pair = lambda name, ext: F.struct(F.lit(name).alias("name"), F.lit(ext).alias("ext"))
+
+    def decide(x: Column) -> Column:
+        fits = F.filter(known, lambda s: x["start"].startswith(s["prefix"]) & F.forall(s["required"], lambda w: x["low"].contains(w)))
+        rank = lambda s: F.when(F.array_contains(s["deep"], F.substr(x["start"], s["n"] + 1, F.lit(2))), s["rank_deep"]).otherwise(s["rank"])
+        best = F.array_max(F.transform(fits, lambda s: F.struct((1000 * s["n"] - rank(s)).alias("score"), s["name"].alias("name"), s["ext"].alias("ext"))))
+        plain = F.when(is_text(x["body"]), pair("Inconclusive. Probably text", "TEXT")).otherwise(pair("Inconclusive. Probably binary", "BINARY"))
+        found = F.coalesce(F.transform(F.array(best), lambda b: F.when(b.isNotNull(), F.struct(b["name"].alias("name"), b["ext"].alias("ext"))))[0], plain)
+        return F.when(F.coalesce(F.length(x["body"]), F.lit(0)) == 0, pair("", "")).otherwise(found)
+
+    bound = F.struct(body.alias("body"), F.hex(F.substring(body, 1, 16)).alias("start"), F.lower(latin(body)).alias("low"))
+    return F.transform(F.array(bound), decide)[0]
 
 
 def detect_obfuscation(code: Column) -> Column:

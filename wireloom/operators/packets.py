@@ -62,7 +62,7 @@ def decode_packets(frames: DataFrame) -> DataFrame:
     blank = (F.length(payload) < 20) & (F.rtrim(F.translate(F.hex(payload), "0", " ")) == "")
     return rows.select(
         "capture", "packet_no", "ts_us", ipv4(f, ip + 12).alias("src_ip"), uint(f, tcp, 2).cast("int").alias("src_port"), ipv4(f, ip + 16).alias("dst_ip"), uint(f, tcp + 2, 2).cast("int").alias("dst_port"),
-        F.when(cooked, mac(f, 6)).otherwise(mac(f, 6)).alias("src_mac"), packet_kind(F.col("flags")).alias("kind"), uint(f, tcp + 4, 4).alias("seq"), uint(f, tcp + 8, 4).alias("ack"),
+        mac(f, 6).alias("src_mac"), packet_kind(F.col("flags")).alias("kind"), uint(f, tcp + 4, 4).alias("seq"), uint(f, tcp + 8, 4).alias("ack"),
         F.when(blank, F.lit(b"")).otherwise(payload).alias("payload"),
     )
 
@@ -98,18 +98,33 @@ def split_connections(packets: DataFrame) -> DataFrame:
     return keyed.withColumn("conn_no", F.sum(F.when(F.col("kind") == 1, 1).otherwise(0)).over(w).cast("long"))
 
 
+def stream_starts(packets: DataFrame, keys: list[str]) -> DataFrame:
+    """packets (keys, src, packet_no, kind, seq, ack) with start, the first sequence number of their side of the connection.
+
+    The side of the connection's first packet starts with that packet, one later if it is a handshake's. The other side
+    starts one after its own SYN+ACK; without one, where the first side's first acknowledgement says; without that,
+    with its own first packet.
+    """
+    whole, side = Window.partitionBy(*keys), Window.partitionBy(*keys, "src")
+    shaken = F.col("seq") + F.when(F.col("kind") > 0, 1).otherwise(0)
+    rows = packets.withColumns({"first_src": F.min_by("src", "packet_no").over(whole), "first_seq": F.min_by(shaken, "packet_no").over(side), "answer": F.min_by(F.when(F.col("kind") == 2, shaken), F.when(F.col("kind") == 2, F.col("packet_no"))).over(side)})
+    told = F.when((F.col("src") == F.col("first_src")) & (F.col("ack") != 0), F.col("packet_no"))
+    rows = rows.withColumn("told", F.min_by(F.when(told.isNotNull(), F.col("ack")), told).over(whole))
+    start = F.when(F.col("src") == F.col("first_src"), F.col("first_seq")).otherwise(F.coalesce("answer", "told", "first_seq"))
+    return rows.withColumn("start", start % UINT32).drop("first_src", "first_seq", "answer", "told")
+
+
 def reassemble(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Segments of each stream (keys) in order, without retransmits: skip (bytes to cut at the front), kept (bytes left), emit_no, released.
 
-    segments: keys, packet_no, seq, len and start (the stream's first sequence number, or null: its least seq).
-    Sequence numbers that fall more than 2^31 below the start have wrapped. A segment is kept as far as it goes beyond
-    all before it; after a gap nothing is released. emit_no: the packet with which it could first be handed on.
-    Where copies of a byte differ, that of the lower sequence number wins.
+    segments: keys, packet_no, seq, len and start (the stream's first sequence number, or null: its first packet's).
+    Distances from the start are signed and modulo 2^32, so numbers may wrap, and what lies before the start is dropped as
+    a repeat. A segment is kept as far as it goes beyond all before it; after a gap nothing is released. emit_no: the
+    packet with which it could first be handed on. Where copies of a byte differ, that of the lower sequence number wins.
     """
     stream = Window.partitionBy(*keys)
-    first = F.coalesce(F.max("start").over(stream), F.min("seq").over(stream))
-    rows = segments.withColumn("first_seq", first)
-    rows = rows.withColumn("at", F.col("seq") + F.when(F.col("seq") < F.col("first_seq") - (1 << 31), UINT32).otherwise(0) - F.col("first_seq"))
+    first = F.coalesce(F.max("start").over(stream), F.min_by("seq", "packet_no").over(stream))
+    rows = segments.withColumn("at", F.pmod(F.col("seq") - first + (UINT32 >> 1), F.lit(UINT32)) - (UINT32 >> 1))
     order = stream.orderBy("at", "packet_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("expected", F.greatest(F.lit(0), F.coalesce(F.max(F.col("at") + F.col("len")).over(before), F.lit(0))))
@@ -118,7 +133,7 @@ def reassemble(segments: DataFrame, keys: list[str]) -> DataFrame:
     rows = rows.withColumns({"gap": gap, "emit_no": F.max("packet_no").over(upto)})
     kept = F.greatest(F.lit(0), F.col("at") + F.col("len") - F.col("expected"))
     rows = rows.withColumn("kept", F.when(F.col("gap") == 1, 0).otherwise(F.least(kept, F.col("len"))))
-    return rows.withColumns({"skip": F.col("len") - F.col("kept"), "released": F.col("gap") == 0}).drop("first_seq", "expected", "gap")
+    return rows.withColumns({"skip": F.col("len") - F.col("kept"), "released": F.col("gap") == 0}).drop("expected", "gap")
 
 
 def close_connections(released: DataFrame, keys: list[str]) -> DataFrame:
@@ -128,6 +143,24 @@ def close_connections(released: DataFrame, keys: list[str]) -> DataFrame:
     return released.withColumn("over", over).where("over = 0").drop("over")
 
 
+def reopen_connections(released: DataFrame, flow: list[str]) -> DataFrame:
+    """Released rows (flow, conn_no, src, packet_no, emit_no, at, kind, asks) as HTTP connections: conn_no anew, from 1 in each flow, and client.
+
+    A side sends nothing after its own FIN. The first FIN of either side ends an HTTP connection; a later packet that
+    starts with a request (asks) opens the next one, and its sender is the client. What comes while none is open is dropped.
+    """
+    side = Window.partitionBy(*flow, "conn_no", "src").orderBy("packet_no").rowsBetween(Window.unboundedPreceding, -1)
+    order = Window.partitionBy(*flow, "conn_no").orderBy("emit_no", "at", "packet_no")
+    fin = (F.col("kind") == -1).cast("int")
+    rows = released.withColumn("sent_fin", F.coalesce(F.max(fin).over(side), F.lit(0))).where("sent_fin = 0").drop("sent_fin")
+    rows = rows.withColumn("part", F.coalesce(F.sum(fin).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    part = Window.partitionBy(*flow, "conn_no", "part").orderBy("emit_no", "at", "packet_no")
+    asked = F.sum(F.col("asks").cast("int")).over(part)
+    rows = rows.withColumns({"asked": asked, "client": F.first(F.when(F.col("asks"), F.col("src")), ignorenulls=True).over(part)}).where("asked > 0")
+    opens = (F.col("asks") & (F.col("asked") == 1)).cast("int")
+    return rows.withColumn("conn_no", F.sum(opens).over(Window.partitionBy(*flow).orderBy("conn_no", "part", "emit_no", "at", "packet_no"))).drop("part", "asked")
+
+
 def segment_messages(pieces: DataFrame, keys: list[str], order: list[str], direction: str = "direction") -> DataFrame:
     """pieces with msg_no (from 1): a change of direction starts the next message of the connection (keys)."""
     w = Window.partitionBy(*keys).orderBy(*order)
@@ -138,22 +171,26 @@ def segment_messages(pieces: DataFrame, keys: list[str], order: list[str], direc
 def messages_of(packets: DataFrame) -> DataFrame:
     """Whole way from packets to messages: capture, flow_key, conn_no, msg_no, client, server, is_request, first_ts_us, first_packet_no, raw.
 
-    A window sorts narrow columns only; payloads are joined back by (capture, packet_no) and concatenated per message.
-    The client is the side whose released data starts with a request method.
+    Windows sort narrow columns only, all within one dealing by flow; payloads are joined back by (capture, packet_no) and
+    concatenated per message.
     """
-    conn = ["capture", "flow_key", "conn_no"]
-    rows = split_connections(packets).withColumn("src", F.concat_ws(":", "src_ip", F.col("src_port").cast("string"))).withColumn("dst", F.concat_ws(":", "dst_ip", F.col("dst_port").cast("string")))
-    narrow = rows.select(*conn, "src", "dst", "packet_no", "ts_us", "kind", "seq", F.length("payload").cast("long").alias("len"), F.when(F.col("kind") > 0, F.col("seq") + 1).alias("start"))
-    narrow = narrow.withColumn("seq", F.coalesce("start", "seq"))
-    placed = reassemble(narrow, [*conn, "src"])
-    placed = close_connections(placed.where("released"), conn).where("kept > 0")
-    cut = segment_messages(placed.select(*conn, "src", "dst", "packet_no", "ts_us", "skip", "kept", "emit_no", "at"), conn, ["emit_no", "at"], "src")
-    body = rows.select("capture", "packet_no", "payload")
-    joined = cut.join(body, ["capture", "packet_no"]).withColumn("bytes", F.expr("substring(payload, cast(skip as int) + 1, cast(kept as int))"))
+    flow = ["capture", "flow_key"]
+    conn = [*flow, "conn_no"]
+    side = lambda end: F.concat_ws(":", f"{end}_ip", F.col(f"{end}_port").cast("string"))
+    asks = (F.col("kind") == 0) & F.substring_index(F.decode(F.substring("payload", 1, 16), "ISO-8859-1"), " ", 1).isin(*METHODS)
+    size = F.length("payload").cast("long")
+    slim = packets.select("capture", "packet_no", "ts_us", "src_ip", "src_port", "dst_ip", "dst_port", "kind", "seq", "ack", size.alias("len"), F.coalesce(asks, F.lit(False)).alias("asks"))
+    rows = split_connections(slim).select(*conn, side("src").alias("src"), side("dst").alias("dst"), "packet_no", "ts_us", "kind", "seq", "ack", "len", "asks")
+    rows = stream_starts(rows, conn).withColumn("seq", F.col("seq") + F.when(F.col("kind") > 0, 1).otherwise(0))
+    rows = rows.where("len > 0 or kind = -1")
+    placed = reassemble(rows, [*conn, "src"])
+    placed = placed.where((F.col("released") & (F.col("kept") > 0)) | ((F.col("kind") == -1) & ((F.col("len") == 0) | F.col("released"))))
+    placed = reopen_connections(placed.withColumn("asks", F.col("asks") & (F.col("skip") == 0)), flow).where("kept > 0")
+    cut = segment_messages(placed.select(*conn, "src", "dst", "client", "packet_no", "ts_us", "skip", "kept", "emit_no", "at"), conn, ["emit_no", "at"], "src")
+    joined = cut.join(packets.select("capture", "packet_no", "payload"), ["capture", "packet_no"]).withColumn("bytes", F.expr("substring(payload, cast(skip as int) + 1, cast(kept as int))"))
     raw = F.expr("listagg(bytes, X'') WITHIN GROUP (ORDER BY emit_no, at)")
-    made = joined.groupBy(*conn, "msg_no", "src", "dst").agg(F.min("ts_us").alias("first_ts_us"), F.min("packet_no").alias("first_packet_no"), raw.alias("raw"))
+    ends = F.min(F.struct("src", "dst", "client"))
+    made = joined.repartition(*conn).groupBy(*conn, "msg_no").agg(ends.alias("e"), F.min("ts_us").alias("first_ts_us"), F.min("packet_no").alias("first_packet_no"), raw.alias("raw"))
     is_request = F.substring_index(F.decode(F.substring("raw", 1, 16), "ISO-8859-1"), " ", 1).isin(*METHODS)
-    made = made.withColumn("is_request", is_request)
-    w = Window.partitionBy(*conn).orderBy(F.when(F.col("is_request"), 0).otherwise(1), "msg_no")
-    client = F.first("src").over(w)
-    return made.withColumn("client", client).withColumn("server", F.when(F.col("src") == F.col("client"), F.col("dst")).otherwise(F.col("src"))).select(*conn, "msg_no", "is_request", "client", "server", "first_ts_us", "first_packet_no", "raw")
+    server = F.when(F.col("e.src") == F.col("e.client"), F.col("e.dst")).otherwise(F.col("e.src"))
+    return made.select(*conn, "msg_no", is_request.alias("is_request"), F.col("e.client").alias("client"), server.alias("server"), "first_ts_us", "first_packet_no", "raw")

@@ -6,6 +6,7 @@ import io
 import re
 import zipfile
 from collections.abc import Iterator
+from urllib.parse import urlsplit
 from xml.etree import ElementTree
 
 import pyarrow as pa
@@ -50,6 +51,22 @@ def read_frames(spark: SparkSession, path: str) -> DataFrame:
     return frames_of(spark.read.format("binaryFile").load(path))
 
 
+def direct_request(request: bytes) -> tuple[bytes, int]:
+    """(request, port) as the server itself would get it: an absolute target loses its scheme and host; the port is the one that it names, else 80."""
+    line, end, rest = request.partition(b"\n")
+    method, _, after = line.partition(b" ")
+    target, blank, version = after.partition(b" ")
+    try:
+        url = urlsplit(target.decode("ISO-8859-1"))
+        port = url.port or 80
+    except ValueError:
+        return request, 80
+    if url.scheme not in ("http", "https") or not url.netloc or not url.path:
+        return request, 80
+    path = target[len(url.scheme) + 3 + len(url.netloc) :]
+    return method + b" " + path + blank + version + end + rest, port
+
+
 def saz_messages(data: bytes, strip_proxy: bool = True) -> list[tuple[int, bool, str, str, bytes]]:
     """(session, is request, client, server, raw) of the sessions in a proxy archive, requests before responses."""
     out, z = [], zipfile.ZipFile(io.BytesIO(data))
@@ -60,11 +77,8 @@ def saz_messages(data: bytes, strip_proxy: bool = True) -> list[tuple[int, bool,
         flags = {x.get("N"): x.get("V") or "" for x in ElementTree.fromstring(z.read(name)).iter("SessionFlag")}
         ip = lambda key: (re.findall(r"\d{1,3}(?:\.\d{1,3}){3}", flags.get(key, "")) or [""])[-1]
         request, port = z.read(f"raw/{m.group(1)}_c.txt"), 80
-        proxied = re.match(rb"[^\r\n\s]+\s+(https?://[^/\r\n:]+(?::(\d{1,5}))?)/", request)
-        if proxied and strip_proxy:
-            request = request.replace(proxied.group(1), b"", 1)
-            if proxied.group(2) and int(proxied.group(2)) <= 65535:
-                port = int(proxied.group(2))
+        if strip_proxy:
+            request, port = direct_request(request)
         client, server = f"{ip('x-clientip')}:{flags.get('x-clientport', '')}", f"{ip('x-hostip')}:{port}"
         out += [(int(m.group(1)), True, client, server, request), (int(m.group(1)), False, client, server, z.read(f"raw/{m.group(1)}_s.txt"))]
     return out

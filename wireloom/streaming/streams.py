@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
 
 import pandas as pd
@@ -17,7 +18,12 @@ STATE = "conn_no long, first_ts_us long, last_ts_us long, packets long, bytes lo
 
 def stream_frames(spark: SparkSession, folder: str) -> DataFrame:
     """Frames of capture files as they arrive in a folder."""
-    return frames_of(spark.readStream.format("binaryFile").schema(BINARY_FILE).load(folder))
+    return arriving_frames(spark.readStream.format("binaryFile").schema(BINARY_FILE).load(folder))
+
+
+def arriving_frames(files: DataFrame) -> DataFrame:
+    """Frames of a stream of capture files (path, content), from wherever they come."""
+    return frames_of(files)
 
 
 class Connection:
@@ -69,6 +75,79 @@ def stream_connections(packets: DataFrame, idle_us: int = 3_600_000_000) -> Data
     return packets.withWatermark("ts", "10 minutes").groupBy("flow_key").applyInPandasWithState(run, CONNECTION, STATE, "append", GroupStateTimeout.EventTimeTimeout)
 
 
+SEGMENT = "flow_key string, conn_no long, src string, at long, emit_no long, data binary"
+HALF = 1 << 31
+
+
+class Sides:
+    """The open connection of one flow: per side the next byte to hand on, what waits behind a gap, and whether it has sent its FIN.
+
+    The rules are those of packets.stream_starts and packets.reassemble, as far as packets that have come tell.
+    """
+
+    def __init__(self) -> None:
+        self.conn_no, self.first, self.told = 0, None, 0
+        self.start: dict[str, int] = {}
+        self.next: dict[str, int] = {}
+        self.held: dict[str, list[tuple[int, int, bytes]]] = {}
+        self.closed: set[str] = set()
+
+    def take(self, no: int, src: str, kind: int, seq: int, ack: int, data: bytes) -> list[tuple[int, str, int, int, bytes]]:
+        """(conn_no, src, offset, packet_no, bytes) that this packet lets go, in order."""
+        if kind == 1 or not self.conn_no:
+            self.conn_no, self.first, self.told = self.conn_no + 1, src, 0
+            self.start, self.next, self.held, self.closed = {}, {}, {}, set()
+        if src == self.first and not self.told:
+            self.told = ack
+        seq += kind > 0
+        if src not in self.start:
+            self.start[src] = self.told if src != self.first and kind != 2 and self.told else seq
+            self.next[src], self.held[src] = 0, []
+        if src in self.closed:
+            return []
+        if kind == -1:
+            self.closed.add(src)
+        waiting, out = self.held[src], []
+        if data:
+            waiting.append(((seq - self.start[src] + HALF) % (2 * HALF) - HALF, no, data))
+            waiting.sort()
+        while waiting and waiting[0][0] <= self.next[src]:
+            at, _, piece = waiting.pop(0)
+            piece = piece[self.next[src] - at :]
+            if piece:
+                out.append((self.conn_no, src, self.next[src], no, piece))
+                self.next[src] += len(piece)
+        return out
+
+
+def stream_segments(packets: DataFrame, idle_us: int = 3_600_000_000) -> DataFrame:
+    """The bytes of a packet stream (flow_key, packet_no, ts timestamp, ts_us, src, kind, seq, ack, payload), each side's in order and once, as soon as no gap is before them.
+
+    State is what waits behind gaps and a few numbers per side; a flow that has been idle for idle_us of event time is dropped, with what
+    still waits. Packets of a batch are taken by packet_no.
+    """
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        names = [x.split(" ")[0] for x in SEGMENT.split(", ")]
+        if state.hasTimedOut:
+            state.remove()
+            yield pd.DataFrame([], columns=names)
+            return
+        sides = pickle.loads(state.get[0]) if state.exists else Sides()
+        last = state.get[1] if state.exists else 0
+        parts = sorted((x for f in frames for x in zip(f["packet_no"], f["ts_us"], f["src"], f["kind"], f["seq"], f["ack"], f["payload"])), key=lambda x: x[0])
+        for at in range(0, len(parts), 10_000):
+            out = []
+            for no, ts, src, kind, seq, ack, data in parts[at : at + 10_000]:
+                last = max(last, int(ts))
+                out += [(key[0], *x) for x in sides.take(int(no), src, int(kind), int(seq), int(ack), data or b"")]
+            yield pd.DataFrame(out, columns=names)
+        state.update((pickle.dumps(sides), last))
+        state.setTimeoutTimestamp(max((last + idle_us) // 1000, state.getCurrentWatermarkMs() + 1))
+
+    return packets.withWatermark("ts", "10 minutes").groupBy("flow_key").applyInPandasWithState(run, SEGMENT, "sides binary, last_us long", "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def batch_connections(packets: DataFrame) -> DataFrame:
     """The same connections from a bounded table, by windows; closed connections and those a later one ended."""
     from pyspark.sql import Window
