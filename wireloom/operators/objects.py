@@ -54,7 +54,9 @@ def ungzip_objects(convs: DataFrame) -> DataFrame:
 
 
 def plaintext_body(body: Column, magic_ext: Column) -> Column:
-    return F.when(magic_ext == "GZ", gunzip(F.when(magic_ext == "GZ", body))).otherwise(body)
+    """The body, inflated where its type is GZ and it starts as gzip: only such bytes are sent to Python."""
+    zipped = F.hex(F.substring(body, 1, 3)) == "1F8B08"
+    return F.when((magic_ext == "GZ") & zipped, gunzip(F.when(zipped, body))).otherwise(body)
 
 
 def peek(body: Column, size: int | None = SHOW_BYTES) -> Column:
