@@ -47,7 +47,7 @@ def continued_and_reopened(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("host", "uri", "method", "res_num", F.try_element_at("req_headers", F.lit("user-agent")).alias("agent"), "server_ip_port", "res_len", F.md5("res_body").alias("md5"), sent.alias("sent"))
 
 
-@query("stream_starts", """WITH s AS (SELECT l_orderkey AS k, l_linenumber AS n, l_suppkey % 2 AS src, (4294967256 + l_partkey % 80) % 4294967296 AS seq, l_quantity::BIGINT AS len, l_partkey % 97 AS ack,
+@query("stream_starts", """WITH s AS (SELECT l_orderkey AS k, (l_linenumber * 10000000::BIGINT + l_partkey) * 100 + l_quantity::BIGINT AS n, l_suppkey % 2 AS src, (4294967256 + l_partkey % 80) % 4294967296 AS seq, l_quantity::BIGINT AS len, l_partkey % 97 AS ack,
   CASE WHEN l_orderkey % 3 = 0 AND l_linenumber IN (1, 2) THEN l_linenumber ELSE 0 END AS kind FROM lineitem),
 t AS (SELECT *, seq + (kind > 0)::INT AS shaken, first_value(src) OVER (PARTITION BY k ORDER BY n) AS fsrc, first_value(seq + (kind > 0)::INT) OVER (PARTITION BY k, src ORDER BY n) AS fseq FROM s),
 u AS (SELECT *, min(CASE WHEN kind = 2 THEN n END) OVER (PARTITION BY k, src) AS an, min(CASE WHEN src = fsrc AND ack <> 0 THEN n END) OVER (PARTITION BY k) AS tn FROM t),
@@ -56,14 +56,15 @@ w AS (SELECT k, n, src, len, shaken, (CASE WHEN src = fsrc THEN fseq ELSE coales
 p AS (SELECT *, ((shaken - start + 2147483648) % 4294967296 + 4294967296) % 4294967296 - 2147483648 AS pos FROM w),
 e AS (SELECT *, greatest(0, coalesce(max(pos + len) OVER (PARTITION BY k, src ORDER BY pos, n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS expected FROM p),
 g AS (SELECT *, max((pos > expected)::INT) OVER (PARTITION BY k, src ORDER BY pos, n ROWS UNBOUNDED PRECEDING) AS gap FROM e)
-SELECT k AS l_orderkey, n AS l_linenumber, start, CASE WHEN gap = 1 THEN 0 ELSE least(len, greatest(0, pos + len - expected)) END AS kept, gap = 0 AS released FROM g""")
+SELECT k AS l_orderkey, n AS packet_no, start, CASE WHEN gap = 1 THEN 0 ELSE least(len, greatest(0, pos + len - expected)) END AS kept, gap = 0 AS released FROM g""")
 def stream_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines as segments of two sides: with and without handshakes, numbers that wrap, and data from before the start."""
     n = F.col("l_linenumber")
     kind = F.when((F.col("l_orderkey") % 3 == 0) & n.isin(1, 2), n).otherwise(0)
-    s = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 2).alias("src"), n.alias("packet_no"), ((4294967256 + F.col("l_partkey") % 80) % (1 << 32)).alias("seq"), F.col("l_quantity").cast("long").alias("len"), (F.col("l_partkey") % 97).alias("ack"), kind.alias("kind"))
+    no = (n * F.lit(10_000_000).cast("long") + F.col("l_partkey")) * 100 + F.col("l_quantity").cast("long")
+    s = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 2).alias("src"), no.alias("packet_no"), ((4294967256 + F.col("l_partkey") % 80) % (1 << 32)).alias("seq"), F.col("l_quantity").cast("long").alias("len"), (F.col("l_partkey") % 97).alias("ack"), kind.alias("kind"))
     rows = P.stream_starts(s, ["l_orderkey"]).withColumn("seq", F.col("seq") + F.when(F.col("kind") > 0, 1).otherwise(0))
-    return P.reassemble(rows, ["l_orderkey", "src"]).select("l_orderkey", F.col("packet_no").alias("l_linenumber"), "start", "kept", "released")
+    return P.reassemble(rows, ["l_orderkey", "src"]).select("l_orderkey", "packet_no", "start", "kept", "released")
 
 
 @query("import_hashes", """SELECT p_partkey AS object_id, md5('ws2_32.' || CASE p_partkey % 5 WHEN 0 THEN 'wsastartup' WHEN 1 THEN 'wsacleanup' WHEN 2 THEN 'socket' WHEN 3 THEN 'connect' ELSE 'ord999' END || ',kernel32.exitprocess,other.ord7') AS imphash FROM part""")
