@@ -184,6 +184,19 @@ def test_token_shards_round_trip(spark, texts, monkeypatch):
         start += len(ids)
 
 
+def test_ids_that_half_of_all_rows_share(spark):
+    """One doc_id, and null ones, that many rows have are dealt over several ranges; the order and all counts hold."""
+    rows = [(5, f"text number {i}") for i in range(300)] + [(None, f"no id {i}") for i in range(150)] + [(i, f"own {i}") for i in range(150)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    path = tokens.scratch_path(spark, "shards")
+    tokens.write_shards(docs, str(public_tokenizers.path("word_bpe_49k.json")), path)
+    assert spark.read.parquet(path).select("range").distinct().count() > 4
+    got = sorted(tokens.read_shards(spark, path).collect(), key=lambda r: r.start)
+    ids = [r.doc_id for r in got]
+    assert ids == sorted((d for d in ids if d is not None)) + [None] * 150 and len(ids) == 600
+    assert all(a.start + a.n_tokens == b.start for a, b in zip(got, got[1:])) and got[0].start == 0
+
+
 @settings(max_examples=150, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.text(alphabet=st.sampled_from("aBcé'.,!? \n\t12ñ<|>startofex\u0301\u00a0s\u3000ﬁ\x00")))
 def test_word_encoder_equals_whole_texts(text):

@@ -13,7 +13,7 @@ import os
 import re
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 from itertools import islice
 
 import numpy as np
@@ -137,12 +137,28 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
+class Unpacked(Sequence):
+    """Compressed arrays, each unpacked when it is first asked for."""
+
+    def __init__(self, parts: list[bytes], kind: str) -> None:
+        self.parts, self.kind = parts, kind
+        self.made: dict[int, np.ndarray] = {}
+
+    def __len__(self) -> int:
+        return len(self.parts)
+
+    def __getitem__(self, k: int) -> np.ndarray:
+        if k not in self.made:
+            self.made[k] = np.frombuffer(zstandard.ZstdDecompressor().decompress(self.parts[k]), self.kind)
+        return self.made[k]
+
+
 class WaveletMatrix:
     """Bit-planes of a sequence of ids with rank and select."""
 
-    def __init__(self, n: int, planes: list[np.ndarray], zeros: list[int]) -> None:
+    def __init__(self, n: int, planes: Sequence[np.ndarray], zeros: list[int], ranks: Sequence[np.ndarray] | None = None) -> None:
         self.n, self.planes, self.zeros = n, planes, zeros
-        self._ranks: list[np.ndarray | None] = [None] * len(planes)
+        self._ranks: Sequence[np.ndarray | None] = [None] * len(planes) if ranks is None else ranks
 
     @classmethod
     def build(cls, ids: np.ndarray) -> WaveletMatrix:
@@ -242,7 +258,7 @@ def shard_bytes(doc_ids: list[int | None], lengths: np.ndarray, ids: np.ndarray,
 
 
 def open_shard(data: bytes) -> tuple[int, list[int | None], np.ndarray, WaveletMatrix]:
-    """(start, doc ids, token counts, wavelet matrix) of a shard file."""
+    """(start, doc ids, token counts, wavelet matrix) of a shard file; a bit-plane is unpacked when it is first needed."""
     if data[: len(MAGIC)] != MAGIC:
         raise ValueError("not a wavelet shard")
     at = len(MAGIC)
@@ -252,35 +268,39 @@ def open_shard(data: bytes) -> tuple[int, list[int | None], np.ndarray, WaveletM
     at += 8 * levels
     sizes = struct.unpack_from(f"<{3 + 2 * levels}q", data, at)
     at += 8 * len(sizes)
-    parts, unpack = [], zstandard.ZstdDecompressor().decompress
+    parts = []
     for size in sizes:
-        parts.append(unpack(data[at : at + size]))
+        parts.append(data[at : at + size])
         at += size
-    valid = np.unpackbits(np.frombuffer(parts[0], np.uint8), count=n_docs)
-    doc_ids = [x if v else None for x, v in zip(np.frombuffer(parts[1], "<i8").tolist(), valid.tolist())]
-    wm = WaveletMatrix(n, [np.frombuffer(p, np.uint8) for p in parts[3::2]], zeros)
-    for k, p in enumerate(parts[4::2]):
-        wm._ranks[k] = np.frombuffer(p, "<i8")
-    return start, doc_ids, np.frombuffer(parts[2], "<i8"), wm
+    own = Unpacked(parts[:3], "u1")
+    valid = np.unpackbits(own[0], count=n_docs)
+    doc_ids = [x if v else None for x, v in zip(own[1].view("<i8").tolist(), valid.tolist())]
+    return start, doc_ids, own[2].view("<i8"), WaveletMatrix(n, Unpacked(parts[3::2], "u1"), zeros, Unpacked(parts[4::2], "<i8"))
 
 
 def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_ID, shard_tokens: int = SHARD_TOKENS) -> None:
     """Writes the shard files of docs (integer doc_id, text) under `path`, through Spark's writer: rows (range, shard, n_tokens, data), one shard a file's row group.
 
     Ranges of doc_id come from quantiles of that column alone; texts are encoded where they are read and only ids are
-    shuffled. A range is streamed in order through one task, shard by shard, so memory holds one shard. Ties on
-    doc_id are ordered by ids, null doc_ids come last, a null text has the end id alone.
+    shuffled. A range is streamed in order through one task, shard by shard, so memory holds one shard. A doc_id that
+    several quantiles fall on, and many null ones, have several ranges, dealt by a checksum of the ids. Rows of one doc_id
+    are ordered by range and ids, null doc_ids come last, a null text has the end id alone.
     """
     spark = docs.sparkSession
     short_batches(spark)
     n_ranges = 2 * max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
-    cuts = np.array(sorted(set(docs.approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.25 / n_ranges))))
+    cuts = np.array(sorted(docs.approxQuantile("doc_id", [i / n_ranges for i in range(1, n_ranges)], 0.25 / n_ranges)))
+    rows = docs.agg(F.count(F.lit(1)).alias("n"), F.count("doc_id").alias("with_id")).first()
+    null_ranges = 1 + n_ranges * (rows.n - rows.with_id) // max(rows.n, 1)
     tail = np.array([end_id], np.uint32).tobytes()
 
     def kernel(doc_ids: pa.Array, texts: pa.Array) -> list[pa.Array]:
-        part = [len(cuts) + 1 if d is None else int(np.searchsorted(cuts, d, side="right")) for d in doc_ids.to_pylist()]
+        given = doc_ids.to_pylist()
+        known = np.array([0 if d is None else d for d in given], np.int64)
+        low, high = np.searchsorted(cuts, known, "left").tolist(), np.searchsorted(cuts, known, "right").tolist()
         ids = [np.frombuffer(x + tail, np.uint32) for x in encoder(tokenizer).encode_many(texts.to_pylist())]
         narrow = [b"\x02" + x.astype(np.uint16).tobytes() if x.max() < 1 << 16 else b"\x04" + x.tobytes() for x in ids]
+        part = [len(cuts) + 1 + zlib.crc32(x) % null_ranges if d is None else h if h - l < 2 else l + 1 + zlib.crc32(x) % (h - l) for d, l, h, x in zip(given, low, high, narrow)]
         return [pa.array(part, pa.int32()), pa.array(narrow, pa.binary())]
 
     slim = docs.select("doc_id", "text")
