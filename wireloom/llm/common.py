@@ -10,8 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.tables import drop, written
 from ..functions.tables import shared_path as scratch_path
-from ..functions.tables import written
 
 #: Bytes of an Arrow batch, so that texts of any length reach Python a few at a time.
 BATCH_BYTES = 4 << 20
@@ -103,25 +103,29 @@ def components(edges: DataFrame, name: str = "components") -> DataFrame:
 
     Contraction: in each round every node takes the smallest of itself and its neighbours as parent, parents
     are followed one step further, and edges and roots are rewritten by parent; edges within one root go. Each round is
-    equi-joins and one combinable minimum, its tables are written to the shared folder, and the rounds end
+    equi-joins and one combinable minimum, its tables are written to the shared folder and removed when the next has its own, and the rounds end
     when no edge is left (logarithmic in the longest chain). Self-loops and repeats are allowed; null ends are not.
     """
     edges = written(edges.where("u <> v").select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct(), name)
-    roots = None
+    roots = above = None
     while not edges.isEmpty():
         both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        up = both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p"))
-        up = written(up, name)
-        above = up.select(F.col("u").alias("p"), F.col("p").alias("q"))
-        up = written(up.join(above, "p", "left").select("u", F.least("p", F.coalesce("q", "p")).alias("p")), name)
+        near = written(both.groupBy("u").agg(F.min("v").alias("p")).select("u", F.least("u", "p").alias("p")), name)
+        further = near.select(F.col("u").alias("p"), F.col("p").alias("q"))
+        up = written(near.join(further, "p", "left").select("u", F.least("p", F.coalesce("q", "p")).alias("p")), name)
+        pu, pv = up.select("u", F.col("p").alias("pu")), up.select(F.col("u").alias("v"), F.col("p").alias("pv"))
+        on = edges.join(pu, "u").join(pv, "v").where("pu <> pv")
+        left = written(on.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), name)
         if roots is None:
-            roots = up.select(F.col("u").alias("node"), F.col("p").alias("root"))
+            roots = above = up
+            roots = roots.select(F.col("u").alias("node"), F.col("p").alias("root"))
         else:
             moved = up.select(F.col("u").alias("root"), "p")
-            roots = written(roots.join(moved, "root", "left").select("node", F.coalesce("p", "root").alias("root")), name)
-        pu, pv = up.select("u", F.col("p").alias("pu")), up.select(F.col("u").alias("v"), F.col("p").alias("pv"))
-        on = edges.join(pu, "u").join(pv, "v").where("pu <> pv")
-        edges = written(on.select(F.least("pu", "pv").alias("u"), F.greatest("pu", "pv").alias("v")).distinct(), name)
+            now = written(roots.join(moved, "root", "left").select("node", F.coalesce("p", "root").alias("root")), name)
+            drop(above, up)
+            roots = above = now
+        drop(near, edges)
+        edges = left
     if roots is None:
         roots = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots
