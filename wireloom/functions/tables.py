@@ -8,18 +8,42 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
-def shared_path(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that spark.checkpoint.dir names; where it is unset, in one of our own."""
+def scratch_folder(spark: SparkSession) -> str:
+    """This application's folder below the one that spark.checkpoint.dir names; where that is unset, below one of our own."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
     if not root:
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="wireloom-"))
         root = sc.getCheckpointDir()
-    return f"{root.rstrip('/')}/wireloom/{name}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/wireloom/{sc.applicationId}"
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in this application's folder."""
+    return f"{scratch_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again: its lineage ends there."""
     path = shared_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Removes tables that `written` gave and that nothing will read any more; others are left alone."""
+    for t in tables:
+        if t is not None and hasattr(t, "written_to"):
+            remove(t.sparkSession, t.written_to)
+
+
+def clear(spark: SparkSession) -> None:
+    """Removes all intermediate tables of this application. For callers that have read or written the results they want: results may be read from such tables."""
+    remove(spark, scratch_folder(spark))
