@@ -10,7 +10,7 @@ from ..operators import http as H
 from ..operators import packets as P
 from ..sources import captures
 from ..functions import kernels
-from ..functions.tables import shared_path
+from ..functions.tables import shared_path, written
 from ..streaming import streams as T
 from .stand_ins import event_packets, hexes, micros, page_visits, table, tcp_frame
 
@@ -131,7 +131,7 @@ def edge_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges_and_alone(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    edges = L.flow_edges(edge_candidates(spark, sf_dir))
+    edges = written(L.flow_edges(edge_candidates(spark, sf_dir)), "flow-edges")
     hosts = table(spark, sf_dir, "nation").select(F.lit("orders").alias("capture"), F.col("n_name").alias("host"))
     return edges, L.isolated_hosts(hosts, edges)
 

@@ -16,12 +16,13 @@ from ..operators import conversations as C
 from ..operators import executables as X
 from ..operators import flow as L
 from ..operators import http as H
+from ..operators import objects as O
 from ..operators import packets as P
 from ..operators import report as R
-from ..sources import captures
+from ..sources import captures, sinks
 from ..streaming import streams as T
 from .flow_queries import ran
-from .stand_ins import event_packets, host_of, page_frames, table
+from .stand_ins import event_packets, host_of, page_frames, part_executables, table
 from .web_queries import FILENAME, SHORT, VISITS, conversations
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -126,8 +127,6 @@ UNION ALL SELECT 'info', count(*) || ' ' || min(page_id) FROM pages UNION ALL SE
 UNION ALL SELECT 'conversation', regexp_extract(url, '^https?://([^/?#]*)', 1) || ' ' || page_id FROM pages""")
 def report_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All four parts of the report document, read back from its JSON."""
-    from ..sources import sinks
-
     convs, edges = referred(spark, sf_dir)
     urls = table(spark, sf_dir, "pages").select(F.lit("pages").alias("capture"), F.col("page_id").alias("ts_us"), F.col("page_id").alias("packet_no"), F.create_map(F.lit("x-first"), F.col("url")).alias("req_headers"))
     paths = L.flow_paths(edges, L.isolated_hosts(convs, edges)).select("capture", "path")
@@ -226,3 +225,40 @@ def stream_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     whole = rows.groupBy("flow_key", "src").agg(F.expr("listagg(data, X'') WITHIN GROUP (ORDER BY at)").alias("data"))
     side = F.when(F.col("src").endswith(":80"), "response").otherwise("request")
     return whole.select(F.substring_index("flow_key", "/", -1).cast("long").alias("page_id"), side.alias("side"), F.length("data").cast("long").alias("bytes"), F.md5("data").alias("md5"))
+
+
+@query("section_entropies", r"""WITH b AS (SELECT p_partkey, '558BEC' || repeat(hex(encode(p_name)), 4) AS h FROM part), x AS (SELECT p_partkey, substr(h, (2 * i + 1)::BIGINT, 2) AS x, length(h) / 2 AS n FROM (SELECT p_partkey, h, unnest(range(0, length(h) // 2)) AS i FROM b)),
+c AS (SELECT p_partkey, x, n, count(*) / n AS p FROM x GROUP BY p_partkey, x, n), e AS (SELECT p_partkey, n, -sum(p * log2(p)) AS e FROM c GROUP BY 1, 2)
+SELECT p_partkey AS object_id, n::BIGINT AS raw_size, round(e, 6) AS entropy, n = 0 OR (e > 0 AND e < 1) OR e > 7 AS suspicious FROM e""")
+def section_entropies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the section rows say of the code of each part's executable."""
+    rows = X.pe_sections(X.pe_headers(part_executables(spark, sf_dir))).where("name = '.text'")
+    return rows.select("object_id", "raw_size", F.round("entropy", 6).alias("entropy"), "suspicious")
+
+
+@query("client_of_frames", """SELECT 'IP' AS key, '192.168.0.1' AS value UNION ALL SELECT 'MAC', '02:00:00:00:00:01' UNION ALL SELECT 'USER-AGENT', 'reader/' || (min(page_id) % 5) FROM pages""")
+def client_of_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Address and unusual headers of the client, from frames."""
+    packets = P.decode_packets(page_frames(spark, sf_dir))
+    return C.client_profile(H.exchanges(P.messages_of(packets)), packets).select("key", "value")
+
+
+@query("written_objects", f"WITH {VISITS} SELECT id || '-' || {FILENAME} AS file_name, md5(html) AS md5 FROM n WHERE NOT lower({FILENAME}) LIKE '%.exe'")
+def written_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects as their writer leaves them, read again."""
+    path = shared_path(spark, "objects")
+    sinks.write_objects(O.objects(conversations(spark, sf_dir)), path, dump_exe=False)
+    return spark.read.parquet(path).where("capture = 'pages'").select("file_name", F.md5("value").alias("md5"))
+
+
+@query("written_reports", f"WITH {VISITS} SELECT host, string_agg(id, ',' ORDER BY id) AS ids, min(md5(html)) AS least FROM n GROUP BY host, server_ip_port")
+def written_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The report as its writer leaves it, a JSON line a capture, read again."""
+    convs = conversations(spark, sf_dir)
+    rows = R.report_rows(convs).select("capture", "id", "host", "server_ip_port", "uri", "md5")
+    paths = C.hosts_tree(convs).select("capture", F.array(F.lit("Client"), "host").alias("path"))
+    path = shared_path(spark, "reports")
+    sinks.write_report(R.report_document(rows, paths, C.capture_info(convs, convs), C.client_profile(convs.withColumn("req_headers", F.create_map(F.lit("x"), F.col("host"))))), path)
+    d = spark.read.text(path).where("capture = 'pages'").select(F.from_json("value", "conversations array<struct<host:string,conversations:array<struct<id:long,md5:string>>>>").alias("d"))
+    hosts = d.select(F.explode("d.conversations").alias("h"))
+    return hosts.select("h.host", F.array_join(F.transform("h.conversations", lambda c: c["id"].cast("string")), ",").alias("ids"), F.array_min(F.transform("h.conversations", lambda c: c["md5"])).alias("least"))

@@ -174,7 +174,7 @@ def extract_strings(spark, sf_dir):
 
 @query("find_pattern", r"""SELECT doc_id, count(*) AS n, string_agg(m, ' ' ORDER BY m) AS matches FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)\b\d{1,3}(?:\.\d{1,3}){3}\b|[a-z0-9.]+@[a-z0-9.]+')) AS m FROM documents) GROUP BY 1""")
 def find_pattern(spark, sf_dir):
-    found = O.find_pattern(table(spark, sf_dir, "documents"), r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b|[a-z0-9.]+@[a-z0-9.]+", "doc_id", "text")
+    found = O.find_pattern(table(spark, sf_dir, "documents"), r"\b[0-9]{1,3}(?:\.[0-9]{1,3}){3}\b|[a-z0-9.]+@[a-z0-9.]+", "doc_id", "text", needs=r"[0-9]\.[0-9]|[A-Za-z0-9.\u0130\u0131\u017F\u212A]@")
     return found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_list("match")), " ").alias("matches"))
 
 

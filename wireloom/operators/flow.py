@@ -50,9 +50,8 @@ def flow_paths(edges: DataFrame, isolated: DataFrame | None = None) -> DataFrame
     """(capture, depth, path): paths from Client to every host; an edge hangs below its parent's own edge if that has a lower index.
 
     One join a level, over edges of hosts; indexes rise along a path, so the levels end even on cycles. Every level
-    is written, so that none is computed again for the next.
+    is written, so that none is computed again for the next. Give edges that are written or cached: each level reads them.
     """
-    edges = written(edges, "flow-edges")
     roots = flow_roots(edges)
     top = roots.select("capture", "parent").distinct()
     if isolated is not None:

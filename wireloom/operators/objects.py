@@ -103,13 +103,16 @@ def extract_strings(body: Column) -> Column:
     return F.concat(plain, wide)
 
 
-def find_pattern(objs: DataFrame, pattern: str, key: str = "id", text: str = "value") -> DataFrame:
+def find_pattern(objs: DataFrame, pattern: str, key: str = "id", text: str = "value", needs: str | None = None) -> DataFrame:
     """(key, line, offset, before, match, after) of all case-insensitive matches in the text column.
 
-    A pattern of letters, digits, blanks and simple punctuation alone also runs as a filter before any row leaves the JVM.
+    needs: a pattern in Spark's dialect that every text with a match has, so that no other leaves the JVM. A pattern of
+    letters, digits, blanks and simple punctuation alone is its own.
     """
     rows = objs.select(key, text).where(F.col(text).isNotNull())
-    if re.fullmatch(r"[\w .@/:-]+", pattern, re.ASCII):
+    if needs is not None:
+        rows = rows.where(F.col(text).rlike(needs))
+    elif re.fullmatch(r"[\w .@/:-]+", pattern, re.ASCII):
         rows = rows.where(F.col(text).rlike("(?i)" + pattern.replace(".", "[\\s\\S]")))
     compiled = re.compile(pattern, re.IGNORECASE)
     kind = objs.schema[key].dataType.simpleString()

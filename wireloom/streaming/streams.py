@@ -65,8 +65,8 @@ def stream_connections(packets: DataFrame, idle_us: int = 3_600_000_000) -> Data
                 done.append(conn.row(key[0], False))
             state.remove()
         else:
-            rows = pd.concat(list(frames)).sort_values("packet_no")
-            for ts, kind, size in zip(rows["ts_us"], rows["kind"], rows["size"]):
+            rows = sorted(x for f in frames for x in zip(f["packet_no"], f["ts_us"], f["kind"], f["size"]))
+            for _, ts, kind, size in rows:
                 done += conn.take(key[0], int(ts), int(kind), int(size))
             state.update((conn.conn_no, conn.first, conn.last, conn.packets, conn.size, conn.open))
             state.setTimeoutTimestamp(max(conn.last // 1000 + idle_us // 1000, state.getCurrentWatermarkMs() + 1))
