@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import io
+import re
 import zipfile
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -262,3 +264,27 @@ def written_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = spark.read.text(path).where("capture = 'pages'").select(F.from_json("value", "conversations array<struct<host:string,conversations:array<struct<id:long,md5:string>>>>").alias("d"))
     hosts = d.select(F.explode("d.conversations").alias("h"))
     return hosts.select("h.host", F.array_join(F.transform("h.conversations", lambda c: c["id"].cast("string")), ",").alias("ids"), F.array_min(F.transform("h.conversations", lambda c: c["md5"])).alias("least"))
+
+
+@query("deobfuscate_whole", r"""WITH x AS (SELECT doc_id, array_to_string(regexp_extract_all(text, '[A-Za-z]{2,}'), ' ') AS plain FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, CASE WHEN doc_id % 3 = 2 OR plain = '' OR (doc_id % 3 = 0 AND NOT contains(plain, ' ')) THEN '' WHEN doc_id % 3 = 0 THEN 'urlencoded' ELSE 'packed' END AS detected, plain FROM x""")
+def deobfuscate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts as scripts, URL-encoded or packed with as many digits a key as it takes, and undone."""
+
+    def packed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            out = []
+            for k, text in zip(f["doc_id"], f["text"]):
+                words = re.findall("[A-Za-z]{2,}", text)
+                place = {w: i for i, w in enumerate(dict.fromkeys(words))}
+                if k % 3 == 0:
+                    out.append("%20".join(words))
+                elif k % 3 == 1 and words:
+                    keys = " ".join(np.base_repr(place[w], 36).lower() for w in words)
+                    out.append(f"eval(function(p,a,c,k,e,d){{return p}}('{keys}',36,{len(place)},'{'|'.join(place)}'.split('|'),0,{{}}))")
+                else:
+                    out.append(" ".join(words))
+            yield pd.DataFrame({"doc_id": f["doc_id"], "code": out})
+
+    scripts = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").mapInPandas(packed, "doc_id long, code string")
+    return O.deobfuscate(scripts).select("doc_id", F.array_join("detected", ",").alias("detected"), "plain")
