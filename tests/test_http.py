@@ -49,3 +49,21 @@ def test_request_lines_and_unanswered_requests(spark):
     m = spark.createDataFrame([(1, 1, True, "q1"), (1, 2, True, "q2"), (1, 3, False, "a2"), (1, 4, False, "late")], "k int, msg_no int, is_request boolean, t string").withColumn("m", F.struct("t"))
     got = H.pair_exchanges(m, ["k"]).orderBy("msg_no").collect()
     assert [(r.request.t, r.response and r.response.t) for r in got] == [("q1", None), ("q2", "a2")]
+
+
+def test_expected_100_and_cut_gzip_on_the_main_way(spark):
+    zipped = gzip.compress(b"body " * 50)
+    said = [
+        (1, True, b"POST /a HTTP/1.1\r\nHost: h\r\nExpect: 100-continue\r\n\r\n"), (2, False, b"HTTP/1.1 100 Continue\r\n\r\n"), (3, False, b"sent\r\n\r\nbody"), (4, False, b"HTTP/1.1 200 OK\r\n\r\n" + zipped[:-6]),
+        (5, True, b"GET /b HTTP/1.1\r\nHost: h\r\n\r\n"), (6, False, b"HTTP/1.1 100 Early\r\n\r\nx"), (7, True, b"GET /c HTTP/1.1\r\n\r\n"), (8, False, b"HTTP/1.1 200 OK\r\n\r\n" + zipped),
+    ]
+    m = spark.createDataFrame([("c", "f", 1, n, q, "1.1.1.1:9", "2.2.2.2:80", n, n, raw) for n, q, raw in said], "capture string, flow_key string, conn_no long, msg_no long, is_request boolean, client string, server string, first_ts_us long, first_packet_no long, raw binary")
+    got = {r.uri: r for r in H.exchanges(m).collect()}
+    assert got["/a"].res_num == "200 OK" and bytes(got["/a"].req).endswith(b"\r\n\r\nsent\r\n\r\nbody") and got["/a"].truncated and bytes(got["/a"].res_body) == b"body " * 50
+    assert got["/c"].res_num == "200 OK" and bytes(got["/c"].res_body) == b"body " * 50 and not got["/c"].truncated
+    assert kernels.inflated(zipped, 31, 10) == (b"body body ", False) and kernels.inflated(b"none", 31) == (None, False)
+
+
+def test_headers_sorted_by_name_keep_the_last(spark):
+    r = one(spark, H.request_columns(F.lit("GET / HTTP/1.1\r\nB: 1\r\na: 1\r\nb: 2\r\nA:3\r\nb : 4\r\nc:")))
+    assert r.req_headers == {"a": "3", "b": "4", "c": ""}

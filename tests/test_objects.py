@@ -98,3 +98,18 @@ def test_plugins(spark):
         raise AssertionError
     except KeyError:
         pass
+
+
+def test_scripts_with_strings_and_payloads():
+    import base64
+    from urllib.parse import quote
+
+    from wireloom.functions import kernels
+
+    assert kernels.unpack_string_array('var _0xa = ["x\\"y", "b" ] ; f(_0xa[1], _0xa[0], _0xa[2], _0xa[n]);') == ' ; f("b", "x\\"y", _0xa[2], _0xa[n]);'
+    for other in ("var x = [];", 'var _0xa = ["open', "var _0xa = [1, 2];", "", "var"):
+        assert kernels.unpack_string_array(other) is None
+    hidden = base64.b64encode(quote("var _escape='<script>alert('x')</script>'; run()").encode()).decode()[::-1]
+    assert kernels.unpack_reversed_base64(f"var k = '{hidden}'; var z = 'q'; eval(un(de(k)));") == "alert('x')"
+    for other in ("eval(un(de(k)));", "var k = '!!!'; eval(un(de(k)));", "var k = 'YWJj'; eval(un(de(k)));", ""):
+        assert kernels.unpack_reversed_base64(other) is None

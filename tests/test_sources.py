@@ -80,3 +80,11 @@ def test_binary_files_read_and_signatures(spark, tmp_path):
     (tmp_path / "p.txt").write_text("[UPX one]\nsignature = 60 E8 ?? 00 ?? ??\nep_only = true\nsection_start_only = false\n\n[Two]\nsignature = 55\nep_only = false\n")
     rows = captures.read_packer_signatures(spark, str(tmp_path / "p.txt")).orderBy("name").collect()
     assert [(r.name, r.pattern_hex, r.ep_only, r.section_start_only) for r in rows] == [("Two", "55", False, False), ("UPX one", "60E8??00", True, False)]
+
+
+def test_requests_through_a_proxy():
+    direct = captures.direct_request
+    assert direct(b"GET http://h:8080/a b HTTP/1.1\r\nHost: h\r\n\r\nhttp://x/") == (b"GET /a b HTTP/1.1\r\nHost: h\r\n\r\nhttp://x/", 8080)
+    assert direct(b"GET https://h/ HTTP/1.1\r\n") == (b"GET / HTTP/1.1\r\n", 80)
+    for same in (b"GET /http://h/ HTTP/1.1\r\n", b"GET http://h HTTP/1.1\r\n", b"GET http://h:99999/ HTTP/1.1\r\n", b"CONNECT h:443 HTTP/1.1\r\n", b"", b"GET"):
+        assert direct(same) == (same, 80)

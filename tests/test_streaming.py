@@ -1,3 +1,5 @@
+import random
+
 from wireloom.functions import kernels
 from wireloom.jobs.flow_queries import ran
 from wireloom.jobs.stand_ins import event_packets
@@ -22,3 +24,37 @@ def test_stream_of_capture_files(spark, tmp_path):
     (tmp_path / "note.txt").write_bytes(b"no capture")
     got = ran(T.stream_frames(spark, str(tmp_path)))
     assert got.count() == 6
+
+
+def test_released_bytes_of_shuffled_segments():
+    """Segments cut at random, out of order, repeated and lost: each side gives what comes before its first gap, once and in order."""
+    rnd = random.Random(4)
+    for _ in range(200):
+        sides, sent, start = T.Sides(), {}, {"a": rnd.choice([5, 2**32 - 20]), "b": rnd.choice([9, 2**32 - 3])}
+        parts = []
+        for side in "ab":
+            data = bytes(rnd.randrange(256) for _ in range(rnd.randrange(1, 150)))
+            cuts = sorted({0, len(data), *(rnd.randrange(len(data) + 1) for _ in range(6))})
+            own = [(side, x, data[x:y]) for x, y in zip(cuts, cuts[1:])]
+            lost = rnd.choice(own)[1] if rnd.random() < 0.4 else None
+            own = [p for p in own if p[1] != lost]
+            parts += own + [p for p in own if rnd.random() < 0.3]
+            sent[side] = data if lost is None else data[:lost]
+        rnd.shuffle(parts)
+        got = {"a": b"", "b": b""}
+        handshake = [("a", 1, start["a"] - 1, 0, b""), ("b", 2, (start["b"] - 1) % 2**32, start["a"], b"")]
+        packets = handshake + [(s, 0, (start[s] + x) % 2**32, 1, d) for s, x, d in parts]
+        for no, (src, kind, seq, ack, data) in enumerate(packets):
+            for conn, side, at, _, piece in sides.take(no, src, kind, seq, ack, data):
+                assert conn == 1 and at == len(got[side])
+                got[side] += piece
+        assert got == sent
+
+
+def test_sides_close_and_reopen():
+    sides = T.Sides()
+    assert sides.take(0, "a", 0, 100, 500, b"GET") == [(1, "a", 0, 0, b"GET")]
+    assert sides.take(1, "b", 0, 490, 103, b"old bytes ok") == [(1, "b", 0, 1, b"ok")]
+    assert sides.take(2, "b", -1, 502, 103, b"!") == [(1, "b", 2, 2, b"!")] and sides.take(3, "b", 0, 503, 103, b"late") == []
+    assert sides.take(4, "a", 0, 103, 503, b" on") == [(1, "a", 3, 4, b" on")]
+    assert sides.take(5, "b", 1, 7, 0, b"") == [] and sides.take(6, "b", 0, 8, 1, b"new") == [(2, "b", 0, 6, b"new")]
