@@ -88,3 +88,12 @@ def test_requests_through_a_proxy():
     assert direct(b"GET https://h/ HTTP/1.1\r\n") == (b"GET / HTTP/1.1\r\n", 80)
     for same in (b"GET /http://h/ HTTP/1.1\r\n", b"GET http://h HTTP/1.1\r\n", b"GET http://h:99999/ HTTP/1.1\r\n", b"CONNECT h:443 HTTP/1.1\r\n", b"", b"GET"):
         assert direct(same) == (same, 80)
+
+
+def test_captures_of_any_size_are_streamed(spark, tmp_path):
+    made = {"a": kernels.write_pcap([(5, b"one"), (6, b"two")]), "b": kernels.write_pcapng([(7, b"three")], 9), "cut": kernels.write_pcap([(5, b"one"), (6, b"two")])[:-1], "no": b"none", "empty": b""}
+    for name, data in made.items():
+        (tmp_path / name).write_bytes(data)
+    rows = lambda df: sorted((r.capture.rsplit("/", 1)[1], r.packet_no, r.link_type, r.ts_us, bytes(r.frame)) for r in df.collect())
+    want = [("a", 0, 1, 5, b"one"), ("a", 1, 1, 6, b"two"), ("b", 0, 1, 7, b"three"), ("cut", 0, 1, 5, b"one")]
+    assert rows(captures.read_frames(spark, str(tmp_path))) == rows(captures.read_frames(spark, str(tmp_path), large=True)) == want

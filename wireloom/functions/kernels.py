@@ -8,7 +8,9 @@ import re
 import struct
 import zipfile
 import zlib
+from collections.abc import Iterator
 from html.parser import HTMLParser
+from typing import BinaryIO
 from urllib.parse import unquote
 
 import numpy as np
@@ -292,45 +294,59 @@ def parse_pe(data: bytes) -> dict | None:
         return None
 
 
-def read_pcap(data: bytes):
-    """(link type, microseconds, frame) of each packet of a pcap or pcapng file; a packet cut short ends it."""
-    magic = data[:4]
+def read_capture(stream: BinaryIO) -> Iterator[tuple[int, int, bytes]]:
+    """(link type, microseconds, frame) of each packet of a pcap or pcapng file, read piece by piece; a packet cut short ends it."""
+    magic = stream.read(4)
     if magic in (b"\xd4\xc3\xb2\xa1", b"\xa1\xb2\xc3\xd4"):
-        e = "<" if magic[0] == 0xD4 else ">"
-        link = struct.unpack_from(e + "I", data, 20)[0]
-        at = 24
-        while at + 16 <= len(data):
-            sec, usec, n, _ = struct.unpack_from(e + "IIII", data, at)
-            if at + 16 + n > len(data):
+        order, rest = ("<" if magic[0] == 0xD4 else ">"), stream.read(20)
+        link = struct.unpack_from(order + "I", rest, 16)[0] if len(rest) == 20 else 0
+        while len(head := stream.read(16)) == 16:
+            sec, usec, size, _ = struct.unpack(order + "IIII", head)
+            frame = stream.read(size)
+            if len(frame) < size:
                 return
-            yield link, sec * 1_000_000 + usec, data[at + 16 : at + 16 + n]
-            at += 16 + n
+            yield link, sec * 1_000_000 + usec, frame
     elif magic == b"\x0a\x0d\x0d\x0a":
-        e, at, links = "<", 0, []
-        while at + 12 <= len(data):
-            if data[at : at + 4] == b"\x0a\x0d\x0d\x0a":
-                e, links = ("<" if data[at + 8 : at + 12] == b"\x4d\x3c\x2b\x1a" else ">"), []
-            kind, size = struct.unpack_from(e + "II", data, at)
-            if size < 12 or at + size > len(data):
+        order, links, head = "<", [], magic + stream.read(4)
+        while len(head) == 8:
+            if head[:4] == b"\x0a\x0d\x0d\x0a":
+                mark = stream.read(4)
+                order, links = ("<" if mark == b"\x4d\x3c\x2b\x1a" else ">"), []
+            else:
+                mark = b""
+            kind, size = struct.unpack(order + "II", head)
+            if size < 12:
+                return
+            block = mark + stream.read(size - 8 - len(mark))
+            if len(block) < size - 8:
                 return
             if kind == 1:
-                link, unit, shift, o = struct.unpack_from(e + "H", data, at + 8)[0], 1_000_000, 0, at + 16
-                while o + 4 <= at + size - 4:
-                    code, n = struct.unpack_from(e + "HH", data, o)
-                    if code == 0:
-                        break
-                    if code == 9:
-                        unit = 2 ** (data[o + 4] & 0x7F) if data[o + 4] & 0x80 else 10 ** data[o + 4]
-                    if code == 14:
-                        shift = struct.unpack_from(e + "q", data, o + 4)[0]
-                    o += 4 + n + (-n % 4)
-                links.append((link, unit, shift))
+                links.append(interface(order, block[:-4]))
             elif kind == 6:
-                i, high, low, n = struct.unpack_from(e + "IIII", data, at + 8)
+                i, high, low, n = struct.unpack_from(order + "IIII", block, 0)
                 if i < len(links):
                     link, unit, shift = links[i]
-                    yield link, (high << 32 | low) * 1_000_000 // unit + shift * 1_000_000, data[at + 28 : at + 28 + n]
-            at += size
+                    yield link, (high << 32 | low) * 1_000_000 // unit + shift * 1_000_000, block[20 : 20 + n]
+            head = stream.read(8)
+
+
+def interface(order: str, block: bytes) -> tuple[int, int, int]:
+    """(link type, units of time in a second, seconds to add) of an interface block's body, by its options."""
+    link, unit, shift, at = struct.unpack_from(order + "H", block, 0)[0], 1_000_000, 0, 8
+    while at + 4 <= len(block):
+        code, n = struct.unpack_from(order + "HH", block, at)
+        if code == 0:
+            break
+        if code == 9:
+            unit = 2 ** (block[at + 4] & 0x7F) if block[at + 4] & 0x80 else 10 ** block[at + 4]
+        if code == 14:
+            shift = struct.unpack_from(order + "q", block, at + 4)[0]
+        at += 4 + n + (-n % 4)
+    return link, unit, shift
+
+
+def read_pcap(data: bytes) -> Iterator[tuple[int, int, bytes]]:
+    return read_capture(io.BytesIO(data))
 
 
 def write_pcap(frames, link: int = 1) -> bytes:
