@@ -407,6 +407,24 @@ def test_moments_are_those_of_all_rows(spark):
     assert np.allclose(mean, x.mean(axis=0)) and np.allclose(sd, np.maximum(x.std(axis=0), 1e-3), atol=1e-6)
 
 
+def test_targets_of_many_sources(spark):
+    """Hundreds of sources of sizes from none to very large: ranks, caps and levels are those of filling one by one."""
+    rng = np.random.default_rng(9)
+    size = {f"s{i:03d}": int(rng.integers(0, 50)) * 10 ** int(rng.integers(0, 5)) for i in range(300)} | {None: 700, "": 3, "ß": 90, "Z": 0}
+    names = sorted(s for s in size if s is not None) + [None]
+    table = spark.createDataFrame(list(size.items()), "source string, source_size long").repartition(7)
+    assert [r.source for r in mixing.ranked(table).orderBy("rank").collect()] == names and mixing.source_targets(table.limit(0)).count() == 0
+    share, free, want, left = {s: i % 3 + 1 for i, s in enumerate(names)}, set(names), {}, float(sum(size.values()))
+    while free:
+        level = left / sum(share[s] for s in free)
+        over = [s for s in free if level * share[s] >= 3 * size[s]]
+        want |= {s: 3.0 * size[s] for s in over} if over else {s: level * share[s] for s in free}
+        left -= sum(want[s] for s in over)
+        free -= set(over) or free
+    got = {r.source: r.target for r in mixing.source_targets(table).collect()}
+    assert got.keys() == want.keys() and all(abs(got[s] - want[s]) <= 1e-6 * max(1, want[s]) for s in want)
+
+
 def test_mixing_order_against_brute_force(spark):
     """What a source's fraction takes are the documents of the smallest keys -ln(u) / w, up to its budget."""
     import math
@@ -430,14 +448,14 @@ def test_mixing_order_against_brute_force(spark):
 
 
 def test_out_of_fold_features_have_not_seen_the_fold(spark):
-    rows = spark.createDataFrame([(f"common word{i % 7} " + ("poison " if i % 2 else "") + f"only{i % 5}", i % 2, i % 5) for i in range(200)], "text string, label int, fold int")
+    rows = spark.createDataFrame([(f"common word{i % 7} " + ("poison " if i % 2 else "") + "only" + "abcde"[i % 5], i % 2, i % 5) for i in range(200)], "text string, label int, fold int")
     counts = toxicity.feature_counts(rows).cache()
     got = {r.h: r for r in counts.collect()}
     h = {w: toxicity.WordHashes()[w][0] for w in ("poison", "common")}
     assert sum(got[h["poison"]][f"yes{f}"] for f in range(5)) == 100 and sum(got[h["poison"]][f"no{f}"] for f in range(5)) == 0
     assert sum(got[None][f"yes{f}"] + got[None][f"no{f}"] for f in range(5)) == 200
     every, *without = toxicity.telling_features(counts)
-    only = {f: set(np.array(toxicity.WordHashes()[f"only{f}"][:1])) for f in range(5)}
+    only = {f: {toxicity.WordHashes()["only" + "abcde"[f]][0]} for f in range(5)}
     assert all(not only[f] & set(without[f][0].tolist()) and only[f] <= set(every[0].tolist()) for f in range(5))
 
 

@@ -45,21 +45,33 @@ def sized(docs: DataFrame) -> DataFrame:
     return append_columns(slim, ["text"], [T.StructField("size", T.LongType()), T.StructField("weight", T.DoubleType())], kernel, keep=["doc_id", "source", "row_key"])
 
 
+def ranked(sizes: DataFrame) -> DataFrame:
+    """sizes with rank, from 0, of the source by code point, null last. Sources are sorted by ranges and numbered within each; only the ranges' counts are summed up in one place."""
+    rows = written(sizes.orderBy(F.col("source").asc_nulls_last()).withColumn("part", F.spark_partition_id()), "sources")
+    ahead = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = rows.groupBy("part").agg(F.count(F.lit(1)).alias("n")).select("part", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(F.col("source").asc_nulls_last())) - 1
+    return rows.withColumn("at", within).join(F.broadcast(starts), "part").withColumn("rank", F.col("start") + F.col("at")).drop("part", "at", "start")
+
+
 def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """(source, source_size, target) from one row (source, source_size) per source.
 
-    Sources by code point, null last, weigh 1, 2, 3, 1, ... Filling by weight with caps: sources in the order of
-    cap by weight; those whose cap is below the common level of the ones not capped get their cap.
+    Sources by code point, null last, weigh 1, 2, 3, 1, ... Filling by weight with caps: sources that the common level takes
+    above their cap get their cap, and the level rises for the others, until none is above; each round is one sum over
+    the sources.
     """
-    every, by_name = Window.partitionBy(), Window.orderBy(F.col("source").asc_nulls_last())
-    by_cap = Window.orderBy((F.col("cap") / F.col("share")).asc(), F.col("source").asc_nulls_last())
-    before = by_cap.rowsBetween(Window.unboundedPreceding, -1)
-    rows = sizes.withColumn("share", (F.row_number().over(by_name) - 1) % 3 + 1).withColumn("cap", max_epochs * F.col("source_size"))
-    left = F.sum("source_size").over(every) - F.coalesce(F.sum("cap").over(before), F.lit(0))
-    rows = rows.withColumn("level", left / (F.sum("share").over(every) - F.coalesce(F.sum("share").over(before), F.lit(0))))
-    rows = rows.withColumn("free", F.col("cap") / F.col("share") > F.col("level"))
-    level = F.first(F.when(F.col("free"), F.col("level")), ignorenulls=True).over(by_cap.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    target = F.when(F.col("free"), level * F.col("share")).otherwise(F.col("cap")).cast("double")
+    rows = ranked(sizes).select("source", "source_size", (F.col("rank") % 3 + 1).alias("share"), (max_epochs * F.col("source_size")).alias("cap"))
+    rows = written(rows, "source-shares")
+    got = rows.agg(F.sum("source_size").alias("size"), F.sum("share").alias("share")).first()
+    total, level, n_full = got["size"] or 0, (got["size"] or 0) / (got["share"] or 1), -1
+    while True:
+        full = F.col("cap") / F.col("share") <= F.lit(float(level))
+        got = rows.agg(F.count(F.when(full, 1)).alias("n"), F.sum(F.when(full, F.col("cap"))).alias("cap"), F.sum(F.when(~full, F.col("share"))).alias("share")).first()
+        if got["n"] == n_full or not got["share"]:
+            break
+        n_full, level = got["n"], (total - (got["cap"] or 0)) / got["share"]
+    target = F.when(full, F.col("cap")).otherwise(F.lit(float(level)) * F.col("share")).cast("double")
     return rows.select("source", "source_size", target.alias("target"))
 
 
