@@ -5,7 +5,7 @@ from wireloom.functions import tables
 
 def test_scratch_tables_come_and_go(spark):
     a, b = tables.written(spark.range(5), "kept"), tables.written(spark.range(7), "dropped")
-    assert a.count() == 5 and b.count() == 7 and a.schema == spark.range(5).schema
+    assert a.count() == 5 and b.count() == 7 and a.dtypes == spark.range(5).dtypes
     place = lambda t: t.written_to.removeprefix("file:")
     assert os.path.isdir(place(a)) and place(a).startswith(tables.scratch_folder(spark).removeprefix("file:"))
     tables.drop(b, None, spark.range(1))
