@@ -1,5 +1,6 @@
-"""The queries of the ten operators and their SQL, by name."""
+"""The queries of the operators and their SQL, by name."""
 
+from .bpe import op13_bpe
 from .chat import OP5_SQL, op5_chat
 from .decontam import op8_decontaminate
 from .langid import op1_langid
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_shards": op9_token_shards,
     "op10_passages": op10_passages,
+    "op13_bpe": op13_bpe,
 }
 ORACLE_SQL = {"op3_host_rules": OP3_SQL, "op5_chat": OP5_SQL}
