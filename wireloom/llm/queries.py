@@ -11,6 +11,7 @@ from .quality_rules import OP3_SQL, op3_host_rules
 from .simhash import op2_simhash
 from .tokens import op9_token_shards
 from .toxicity import op7_toxicity
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_langid": op1_langid,
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_decontaminate": op8_decontaminate,
     "op9_token_shards": op9_token_shards,
     "op10_passages": op10_passages,
+    "op11_whitening": op11_whitening,
     "op13_bpe": op13_bpe,
 }
 ORACLE_SQL = {"op3_host_rules": OP3_SQL, "op5_chat": OP5_SQL}
