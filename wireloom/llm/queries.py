@@ -4,6 +4,7 @@ from .bpe import op13_bpe
 from .chat import OP5_SQL, op5_chat
 from .decontam import op8_decontaminate
 from .langid import op1_langid
+from .lexical import OP12_SQL, op12_search
 from .mixing import op4_mixing
 from .passages import op10_passages
 from .quality_model import op6_quality
@@ -25,6 +26,7 @@ QUERIES = {
     "op9_token_shards": op9_token_shards,
     "op10_passages": op10_passages,
     "op11_whitening": op11_whitening,
+    "op12_search": op12_search,
     "op13_bpe": op13_bpe,
 }
-ORACLE_SQL = {"op3_host_rules": OP3_SQL, "op5_chat": OP5_SQL}
+ORACLE_SQL = {"op3_host_rules": OP3_SQL, "op5_chat": OP5_SQL, "op12_search": OP12_SQL}
