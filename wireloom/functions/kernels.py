@@ -18,6 +18,8 @@ import numpy as np
 MAX_INFLATED = 256 << 20
 MAX_BODY = 10_000_000
 SHOW_AROUND = 25
+#: Digits of a number in a script beyond which it is no count or index.
+MOST_DIGITS = 18
 
 
 def dechunk(raw: bytes) -> bytes:
@@ -78,7 +80,7 @@ def decode(body: bytes | None, charset: str | None) -> str | None:
         try:
             if name:
                 return body.decode(name)
-        except (UnicodeDecodeError, LookupError):
+        except (UnicodeError, LookupError, ValueError):  # broken bytes, no such charset, a charset with a zero byte
             continue
     return "[undecodable content]"
 
@@ -116,15 +118,18 @@ class _Sources(HTMLParser):
 
 def tag_sources(text: str, tag: str, attr: str) -> list[str]:
     parser = _Sources(tag, attr)
-    parser.feed(text)
-    parser.close()
+    try:
+        parser.feed(text)
+        parser.close()
+    except (AssertionError, ValueError):  # a declaration that the parser gives up on: what stands before it was found
+        pass
     return parser.found
 
 
 def zip_names(body: bytes) -> list[str]:
     try:
         return zipfile.ZipFile(io.BytesIO(body)).namelist()
-    except (zipfile.BadZipFile, ValueError, NotImplementedError):
+    except (zipfile.BadZipFile, ValueError, NotImplementedError, struct.error, OSError, EOFError):
         return []
 
 
@@ -142,6 +147,8 @@ def unpack_packed(code: str) -> str | None:
     m = re.search(r"\}\s*\(\s*'(.*)',\s*(\d+|\[\]),\s*(\d+),\s*'(.*?)'\.split\('\|'\)", code, re.DOTALL)
     if not m:
         return None
+    if max(len(m.group(2)), len(m.group(3))) > MOST_DIGITS:
+        return None
     payload, base, count, words = m.group(1), m.group(2), int(m.group(3)), m.group(4).split("|")
     base = 62 if base == "[]" else int(base)
     if count != len(words) or not 2 <= base <= 62:
@@ -198,7 +205,7 @@ def unpack_string_array(code: str) -> str | None:
     out = pieces[:1]
     for piece in pieces[1:]:
         index, bracket, rest = piece.partition("]")
-        known = bracket and index.isdecimal() and int(index) < len(items)
+        known = bracket and index.isdecimal() and len(index) <= MOST_DIGITS and int(index) < len(items)
         out.append(items[int(index)] + rest if known else name + "[" + piece)
     return "".join(out)
 
@@ -241,8 +248,8 @@ def pe_checksum(data: bytes, at: int) -> int:
     return total + len(data)
 
 
-def parse_pe(data: bytes) -> dict | None:
-    """Headers, sections and imports of an executable, or None if it is none."""
+def parse_pe(data: bytes, reach: int = 4096) -> dict | None:
+    """Headers, sections and imports of an executable, or None if it is none; `reach` bytes of each section and from the entry point."""
     try:
         if data[:2] != b"MZ":
             return None
@@ -260,7 +267,7 @@ def parse_pe(data: bytes) -> dict | None:
             at = opt + n_opt + 40 * i
             name, vsize, vaddr, raw_size, raw_ptr = struct.unpack_from("<8sIIII", data, at)
             body = data[raw_ptr : raw_ptr + raw_size]
-            sections.append({"name": name.rstrip(b"\0").decode("latin-1"), "vaddr": vaddr, "vsize": vsize, "raw_ptr": raw_ptr, "raw_size": raw_size, "entropy": entropy(body), "head": body[:256]})
+            sections.append({"name": name.rstrip(b"\0").decode("latin-1"), "vaddr": vaddr, "vsize": vsize, "raw_ptr": raw_ptr, "raw_size": raw_size, "entropy": entropy(body), "head": body[:reach]})
 
         def offset(rva: int) -> int | None:
             for s in sections:
@@ -287,7 +294,7 @@ def parse_pe(data: bytes) -> dict | None:
                 at += size
             table += 20
         start = offset(entry)
-        ep = data[start : start + 256] if start is not None else b""
+        ep = data[start : start + reach] if start is not None else b""
         return {"size": len(data), "timestamp": stamp, "image_base": image_base & (2**63 - 1), "entry_point": entry, "checksum_claimed": claimed, "checksum_actual": pe_checksum(data, opt + 64),
                 "characteristics": characteristics, "sections": sections, "imports": imports, "ep_bytes": ep}
     except (struct.error, ValueError, TypeError, IndexError):
@@ -320,8 +327,10 @@ def read_capture(stream: BinaryIO) -> Iterator[tuple[int, int, bytes]]:
             block = mark + stream.read(size - 8 - len(mark))
             if len(block) < size - 8:
                 return
-            if kind == 1:
+            if kind == 1 and len(block) >= 12:
                 links.append(interface(order, block[:-4]))
+            elif kind == 1 or kind == 6 and len(block) < 24:  # too short for what it says it is
+                return
             elif kind == 6:
                 i, high, low, n = struct.unpack_from(order + "IIII", block, 0)
                 if i < len(links):
@@ -337,9 +346,9 @@ def interface(order: str, block: bytes) -> tuple[int, int, int]:
         code, n = struct.unpack_from(order + "HH", block, at)
         if code == 0:
             break
-        if code == 9:
+        if code == 9 and n >= 1 and at + 5 <= len(block):
             unit = 2 ** (block[at + 4] & 0x7F) if block[at + 4] & 0x80 else 10 ** block[at + 4]
-        if code == 14:
+        if code == 14 and n >= 8 and at + 12 <= len(block):
             shift = struct.unpack_from(order + "q", block, at + 4)[0]
         at += 4 + n + (-n % 4)
     return link, unit, shift

@@ -91,6 +91,20 @@ def reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.reassemble(s, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "kept", "released")
 
 
+@query("reassemble_long", """WITH s AS (SELECT l_orderkey, l_linenumber, r, line * 8 + r AS i, l_quantity::BIGINT * 10000000 AS len FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_quantity) AS line FROM lineitem), range(8) t(r)),
+z AS (SELECT *, max(CASE WHEN l_orderkey % 5 = 0 AND i = 21 THEN 1 ELSE 0 END) OVER (PARTITION BY l_orderkey ORDER BY i ROWS UNBOUNDED PRECEDING) AS gap FROM s)
+SELECT l_orderkey, l_linenumber, r, CASE WHEN gap = 1 THEN 0 ELSE len END AS kept, gap = 0 AS released FROM z WHERE NOT (l_orderkey % 5 = 0 AND i = 21)""")
+def reassemble_long(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Streams of many GiB (their lengths only): numbers wrap, neighbours come in the wrong order, and every fifth stream lacks a segment."""
+    line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
+    s = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line"), (F.col("l_quantity").cast("long") * 10_000_000).alias("len"))
+    s = s.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("r")).withColumn("i", F.col("line") * 8 + F.col("r"))
+    ahead = Window.partitionBy("l_orderkey").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+    s = s.withColumns({"start": F.lit(4_294_967_000), "seq": F.pmod(F.lit(4_294_967_000) + F.coalesce(F.sum("len").over(ahead), F.lit(0)), F.lit(1 << 32)), "packet_no": F.col("i").bitwiseXOR(F.lit(1).cast("long"))})
+    s = s.where(~((F.col("l_orderkey") % 5 == 0) & (F.col("i") == 21)))
+    return P.reassemble(s, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "r", "kept", "released")
+
+
 @query("segment_messages", """SELECT conv_id, turn, sum(c) OVER (PARTITION BY conv_id ORDER BY turn)::BIGINT AS msg_no FROM (SELECT *, (lag(role) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM role)::INT AS c FROM conversations)""")
 def segment_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.segment_messages(table(spark, sf_dir, "conversations"), ["conv_id"], ["turn"], "role").select("conv_id", "turn", "msg_no")

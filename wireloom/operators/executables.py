@@ -14,18 +14,22 @@ from pyspark.sql.pandas.types import to_arrow_schema
 from ..functions import kernels
 from ..functions.ordinals import ordinal_names
 
-#: Section names where an entry point is usual, and names of calls to warn of.
+#: Section names where an entry point is usual, names of calls to warn of, and files that only drivers import from.
 GOOD_ENTRY_SECTIONS = (".text", ".code", "CODE", "INIT", "PAGE")
 ALERT_CALLS = (
     "OpenProcess", "VirtualAllocEx", "WriteProcessMemory", "CreateRemoteThread", "ReadProcessMemory", "CreateProcess", "WinExec", "ShellExecute",
     "HttpSendRequest", "InternetReadFile", "InternetConnect", "CreateService", "StartService",
 )
+KERNEL_COMPONENTS = ("ntoskrnl.exe", "hal.dll", "ndis.sys", "bootvid.dll", "kdcom.dll")
 SECTION = "struct<name:string,vaddr:long,vsize:long,raw_ptr:long,raw_size:long,entropy:double,head:binary>"
 PE = f"capture string, object_id long, size long, timestamp long, image_base long, entry_point long, checksum_claimed long, checksum_actual long, characteristics int, sections array<{SECTION}>, imports array<struct<dll:string,name:string,ordinal:int>>, ep_bytes binary, error string"
 
 
-def pe_headers(objs: DataFrame) -> DataFrame:
-    """PE rows of objects (capture, id, value) that start with MZ; what cannot be read has only `error`."""
+def pe_headers(objs: DataFrame, reach: int = 4096) -> DataFrame:
+    """PE rows of objects (capture, id, value) that start with MZ; what cannot be read has only `error`.
+
+    reach: bytes kept of each section's start and from the entry point, the longest signature that can match there.
+    """
     rows = objs.where(F.hex(F.substring("value", 1, 2)) == "4D5A").select("capture", "id", "value")
 
     arrow = to_arrow_schema(T.StructType.fromDDL(PE))
@@ -34,19 +38,21 @@ def pe_headers(objs: DataFrame) -> DataFrame:
         for b in batches:
             out = []
             for capture, id, value in zip(*(c.to_pylist() for c in b.columns)):
-                got = kernels.parse_pe(value)
+                got = kernels.parse_pe(value, reach)
                 out.append({"capture": capture, "object_id": id, "error": None if got else "not readable"} | (got or {}))
             yield pa.RecordBatch.from_pylist(out, schema=arrow)
 
     return rows.mapInArrow(run, PE)
 
 
-def kind_of(characteristics: Column) -> Column:
-    return F.when(characteristics.bitwiseAND(0x2000) != 0, "DLL").when(characteristics.bitwiseAND(0x1000) != 0, "DRIVER").otherwise("EXE")
+def kind_of(characteristics: Column, imports: Column) -> Column:
+    """DLL by its flag; DRIVER if it imports from a component of the kernel; else EXE."""
+    kernel = F.exists(imports, lambda i: F.lower(i["dll"]).isin(*KERNEL_COMPONENTS))
+    return F.when(characteristics.bitwiseAND(0x2000) != 0, "DLL").when(kernel, "DRIVER").otherwise("EXE")
 
 
 def in_section(section: Column, rva: Column) -> Column:
-    return (rva >= section["vaddr"]) & (rva < section["vaddr"] + F.greatest(section["vsize"], section["raw_size"]))
+    return (rva >= section["vaddr"]) & (rva < section["vaddr"] + section["vsize"])
 
 
 def pe_flags(pe: DataFrame, now: Column | None = None) -> DataFrame:
@@ -54,7 +60,7 @@ def pe_flags(pe: DataFrame, now: Column | None = None) -> DataFrame:
     now = F.unix_timestamp(F.current_timestamp()) if now is None else now
     good = F.exists("sections", lambda s: in_section(s, F.col("entry_point")) & s["name"].isin(*GOOD_ENTRY_SECTIONS))
     time = (F.col("timestamp") < 946684800) | (F.col("timestamp") > now)
-    return pe.withColumns({"bad_time": time, "bad_entry": ~good, "bad_checksum": F.col("checksum_claimed") != F.col("checksum_actual"), "kind": kind_of(F.col("characteristics"))})
+    return pe.withColumns({"bad_time": time, "bad_entry": ~good, "bad_checksum": F.col("checksum_claimed") != F.col("checksum_actual"), "kind": kind_of(F.col("characteristics"), F.col("imports"))})
 
 
 def pe_sections(pe: DataFrame) -> DataFrame:

@@ -113,7 +113,7 @@ def find_pattern(objs: DataFrame, pattern: str, key: str = "id", text: str = "va
     if needs is not None:
         rows = rows.where(F.col(text).rlike(needs))
     elif re.fullmatch(r"[\w .@/:-]+", pattern, re.ASCII):
-        rows = rows.where(F.col(text).rlike("(?i)" + pattern.replace(".", "[\\s\\S]")))
+        rows = rows.where(F.col(text).rlike("(?iu)" + pattern.replace(".", "[\\s\\S]")))
     compiled = re.compile(pattern, re.IGNORECASE)
     kind = objs.schema[key].dataType.simpleString()
 

@@ -118,13 +118,17 @@ def reassemble(segments: DataFrame, keys: list[str]) -> DataFrame:
     """Segments of each stream (keys) in order, without retransmits: skip (bytes to cut at the front), kept (bytes left), emit_no, released.
 
     segments: keys, packet_no, seq, len and start (the stream's first sequence number, or null: its first packet's).
-    Distances from the start are signed and modulo 2^32, so numbers may wrap, and what lies before the start is dropped as
-    a repeat. A segment is kept as far as it goes beyond all before it; after a gap nothing is released. emit_no: the
+    Numbers wrap at 2^32. A segment's place is the sum of the signed differences (modulo 2^32) from each packet to the next
+    by arrival, from the start on, so a stream may be of any length as long as neighbours by arrival are within 2 GiB of each
+    other. What lies before the start is dropped as a repeat. A segment is kept as far as it goes beyond all before it; after a gap nothing is released. emit_no: the
     packet with which it could first be handed on. Where copies of a byte differ, that of the lower sequence number wins.
     """
     stream = Window.partitionBy(*keys)
     first = F.coalesce(F.max("start").over(stream), F.min_by("seq", "packet_no").over(stream))
-    rows = segments.withColumn("at", F.pmod(F.col("seq") - first + (UINT32 >> 1), F.lit(UINT32)) - (UINT32 >> 1))
+    arrival = stream.orderBy("packet_no", "seq", "len")
+    step = F.col("seq") - F.coalesce(F.lag("seq").over(arrival), first)
+    rows = segments.withColumn("step", F.pmod(step + (UINT32 >> 1), F.lit(UINT32)) - (UINT32 >> 1))
+    rows = rows.withColumn("at", F.sum("step").over(arrival.rowsBetween(Window.unboundedPreceding, Window.currentRow))).drop("step")
     order = stream.orderBy("at", "packet_no")
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("expected", F.greatest(F.lit(0), F.coalesce(F.max(F.col("at") + F.col("len")).over(before), F.lit(0))))

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import io
 import re
+import struct
 import zipfile
+import zlib
 from collections.abc import Iterator
 from typing import BinaryIO
 from urllib.parse import urlsplit
@@ -118,8 +120,8 @@ def saz_of(files: DataFrame, strip_proxy: bool = True) -> DataFrame:
             for path, content in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 try:
                     rows = saz_messages(content, strip_proxy)
-                except (zipfile.BadZipFile, KeyError, ElementTree.ParseError):
-                    continue
+                except (zipfile.BadZipFile, zlib.error, KeyError, ElementTree.ParseError, RuntimeError, ValueError, OSError, EOFError, struct.error):
+                    continue  # broken or encrypted
                 cols = [[path] * len(rows), ["-".join(sorted((c, s))) for _, _, c, s, _ in rows], [n for n, *_ in rows], [1 if q else 2 for _, q, *_ in rows], [q for _, q, *_ in rows], [c for _, _, c, _, _ in rows], [s for _, _, _, s, _ in rows], [0] * len(rows), [2 * n + (not q) for n, q, *_ in rows], [r for *_, r in rows]]
                 kinds = [pa.string(), pa.string(), pa.int64(), pa.int64(), pa.bool_(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.binary()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds)], names=[x.split(" ")[0] for x in MESSAGES.split(", ")])

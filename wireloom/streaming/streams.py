@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import heapq
 import pickle
 from collections.abc import Iterator
 
@@ -87,7 +88,8 @@ class Sides:
 
     def __init__(self) -> None:
         self.conn_no, self.first, self.told = 0, None, 0
-        self.start: dict[str, int] = {}
+        self.seq: dict[str, int] = {}
+        self.at: dict[str, int] = {}
         self.next: dict[str, int] = {}
         self.held: dict[str, list[tuple[int, int, bytes]]] = {}
         self.closed: set[str] = set()
@@ -96,23 +98,25 @@ class Sides:
         """(conn_no, src, offset, packet_no, bytes) that this packet lets go, in order."""
         if kind == 1 or not self.conn_no:
             self.conn_no, self.first, self.told = self.conn_no + 1, src, 0
-            self.start, self.next, self.held, self.closed = {}, {}, {}, set()
+            self.seq, self.at, self.next, self.held, self.closed = {}, {}, {}, {}, set()
         if src == self.first and not self.told:
             self.told = ack
         seq += kind > 0
-        if src not in self.start:
-            self.start[src] = self.told if src != self.first and kind != 2 and self.told else seq
+        if src not in self.seq:
+            self.at[src], self.seq[src] = 0, self.told if src != self.first and kind != 2 and self.told else seq
             self.next[src], self.held[src] = 0, []
         if src in self.closed:
             return []
         if kind == -1:
             self.closed.add(src)
         waiting, out = self.held[src], []
+        if data or kind == -1:  # places add up from packet to packet, so they go beyond 2^32
+            self.at[src] += (seq - self.seq[src] + HALF) % (2 * HALF) - HALF
+            self.seq[src] = seq
         if data:
-            waiting.append(((seq - self.start[src] + HALF) % (2 * HALF) - HALF, no, data))
-            waiting.sort()
+            heapq.heappush(waiting, (self.at[src], no, data))
         while waiting and waiting[0][0] <= self.next[src]:
-            at, _, piece = waiting.pop(0)
+            at, _, piece = heapq.heappop(waiting)
             piece = piece[self.next[src] - at :]
             if piece:
                 out.append((self.conn_no, src, self.next[src], no, piece))
