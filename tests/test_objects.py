@@ -113,3 +113,16 @@ def test_scripts_with_strings_and_payloads():
     assert kernels.unpack_reversed_base64(f"var k = '{hidden}'; var z = 'q'; eval(un(de(k)));") == "alert('x')"
     for other in ("eval(un(de(k)));", "var k = '!!!'; eval(un(de(k)));", "var k = 'YWJj'; eval(un(de(k)));", ""):
         assert kernels.unpack_reversed_base64(other) is None
+
+
+def test_long_prefixes_of_types(spark):
+    body = bytes(range(1, 41))
+    rows = spark.createDataFrame([(body,), (body[:39],)], "b binary")
+    signatures = [("short", "01 02", "S", ""), ("long", body.hex().upper(), "L", "")]
+    assert [r[0].ext for r in rows.select(O.identify_type(rows.b, signatures)).collect()] == ["L", "S"]
+
+
+def test_declared_lists(spark):
+    texts = ['var _0x1f = ["a"]', 'var _0x1f=["a"]', "var _0xg=[1]", "var _0x=[1]", "var _0x1f", "x = [1]", 'var _0x1f = f(["a"])']
+    got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, c string").orderBy("i").select(O.declares_list(F.col("c"))).collect()
+    assert [r[0] for r in got] == [True, True, False, False, False, False, False]

@@ -45,9 +45,9 @@ def header_map(head: Column) -> Column:
 
     Lines are sorted by name and place, so that each needs a look at its neighbour only.
     """
-    lines = F.filter(F.slice(F.split(head, "\r?\n"), 2, 1000000), lambda x: F.instr(x, ":") > 0)
+    lines = F.filter(F.slice(F.split(head, "\r?\n"), 2, 1_000_000_000), lambda x: F.instr(x, ":") > 0)
     named = F.array_sort(F.transform(lines, lambda x, i: F.struct(F.lower(F.trim(F.substring_index(x, ":", 1))).alias("k"), i.alias("i"), F.trim(F.substr(x, F.instr(x, ":") + 1)).alias("v"))))
-    last = F.zip_with(named, F.slice(named, 2, 1000000), lambda a, b: F.when(b.isNull() | (a["k"] != b["k"]), F.struct(a["k"], a["v"])))
+    last = F.zip_with(named, F.slice(named, 2, 1_000_000_000), lambda a, b: F.when(b.isNull() | (a["k"] != b["k"]), F.struct(a["k"], a["v"])))
     return F.map_from_entries(F.filter(last, lambda x: x.isNotNull()))
 
 

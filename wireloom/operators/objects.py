@@ -194,17 +194,25 @@ def identify_type(body: Column, signatures: list[tuple[str, str, str, str]]) ->
         found = F.coalesce(F.transform(F.array(best), lambda b: F.when(b.isNotNull(), F.struct(b["name"].alias("name"), b["ext"].alias("ext"))))[0], plain)
         return F.when(F.coalesce(F.length(x["body"]), F.lit(0)) == 0, pair("", "")).otherwise(found)
 
-    bound = F.struct(body.alias("body"), F.hex(F.substring(body, 1, 16)).alias("start"), F.lower(latin(body)).alias("low"))
+    longest = 1 + max((len(s["prefix"]) // 2 for s in type_candidates(signatures)), default=0)
+    bound = F.struct(body.alias("body"), F.hex(F.substring(body, 1, longest)).alias("start"), F.lower(latin(body)).alias("low"))
     return F.transform(F.array(bound), decide)[0]
 
 
+def declares_list(code: Column) -> Column:
+    """Whether a script begins by declaring a list under a name of _0x and hexadecimal digits, as kernels.unpack_string_array undoes it."""
+    left = F.substring_index(code, "=", 1)
+    digits = F.trim(F.substr(left, F.lit(len("var _0x") + 1)))
+    return left.startswith("var _0x") & (digits != "") & (F.translate(digits, "0123456789abcdef", "") == "") & F.ltrim(F.substr(code, F.length(left) + 2)).startswith("[")
+
+
 def detect_obfuscation(code: Column) -> Column:
     """The detectors that fire, in priority order: urlencoded, packed, string_array, reversed_base64."""
     percents = F.length(code) - F.length(F.replace(code, F.lit("%"), F.lit("")))
     tests = {
         "urlencoded": ~code.contains(" ") & (code.contains("%20") | (percents > 3)),
         "packed": F.replace(code, F.lit(" "), F.lit("")).startswith("eval(function(p,a,c,k,e,"),
-        "string_array": code.rlike(r"^var _0x[a-f0-9]+ ?= ?\["),
+        "string_array": declares_list(code),
         "reversed_base64": code.contains('["' + ALPHABET_ESCAPED + '"'),
     }
     return F.filter(F.array(*[F.when(t, F.lit(k)) for k, t in tests.items()]), lambda x: x.isNotNull())
