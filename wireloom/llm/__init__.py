@@ -1 +1 @@
-"""Training-data operators: ten jobs over a documents or conversations table."""
+"""Training-data operators: jobs over documents, conversations or embeddings."""
