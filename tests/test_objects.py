@@ -126,3 +126,11 @@ def test_declared_lists(spark):
     texts = ['var _0x1f = ["a"]', 'var _0x1f=["a"]', "var _0xg=[1]", "var _0x=[1]", "var _0x1f", "x = [1]", 'var _0x1f = f(["a"])']
     got = spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, c string").orderBy("i").select(O.declares_list(F.col("c"))).collect()
     assert [r[0] for r in got] == [True, True, False, False, False, False, False]
+
+
+def test_packed_in_base_95_and_with_a_list_of_strings():
+    packed = lambda payload, base, words: f"eval(function(p,a,c,k,e,d){{}}('{payload}',{base},{len(words)},'{'|'.join(words)}'.split('|'),0,{{}}))"
+    words = [f"w{i}" for i in range(66)]
+    assert kernels.unpack_packed(packed("A(0,a)", 95, words)) == "w33(w16,w65)"
+    assert kernels.unpack_packed(packed('3 4=["x","y z"];5(4[0],4[1],4[2])', 62, ["", "", "", "var", "_s", "f"])) == 'f("x","y z",_s[2])'
+    assert kernels.unpack_packed(packed("0", 70, ["a"])) is None

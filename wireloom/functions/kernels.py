@@ -143,7 +143,10 @@ def entropy(body: bytes) -> float:
 
 
 def unpack_packed(code: str) -> str | None:
-    """Script of the form eval(function(p,a,c,k,e,..}('payload',base,count,'words'.split('|'),..)) with its words put back."""
+    """Script of the form eval(function(p,a,c,k,e,..}('payload',base,count,'words'.split('|'),..)) with its words put back, and the strings of a list that it begins with.
+
+    Bases 2 to 62 count in digits and letters, base 95 in the printable ASCII characters.
+    """
     m = re.search(r"\}\s*\(\s*'(.*)',\s*(\d+|\[\]),\s*(\d+),\s*'(.*?)'\.split\('\|'\)", code, re.DOTALL)
     if not m:
         return None
@@ -151,9 +154,10 @@ def unpack_packed(code: str) -> str | None:
         return None
     payload, base, count, words = m.group(1), m.group(2), int(m.group(3)), m.group(4).split("|")
     base = 62 if base == "[]" else int(base)
-    if count != len(words) or not 2 <= base <= 62:
+    if count != len(words) or not (2 <= base <= 62 or base == 95):
         return None
-    digits = {c: i for i, c in enumerate("0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"[:base])}
+    letters = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" if base <= 62 else "".join(map(chr, range(32, 127)))
+    digits = {c: i for i, c in enumerate(letters[:base])}
 
     def put_back(t: re.Match) -> str:
         value = 0
@@ -163,7 +167,9 @@ def unpack_packed(code: str) -> str | None:
             value = value * base + digits[c]
         return (words[value] or t.group()) if value < len(words) else t.group()
 
-    return re.sub(r"\b\w+\b", put_back, payload.replace("\\\\", "\\").replace("\\'", "'"))
+    plain = re.sub(r"\b\w+\b", put_back, payload.replace("\\\\", "\\").replace("\\'", "'"))
+    listed = unpack_string_array(plain, "_")
+    return plain if listed is None else listed
 
 
 def quoted_items(code: str, at: int) -> tuple[list[str], int] | None:
@@ -188,10 +194,10 @@ def quoted_items(code: str, at: int) -> tuple[list[str], int] | None:
     return None
 
 
-def unpack_string_array(code: str) -> str | None:
-    """Script that declares a list of strings under a name that starts with _0x and uses them by index: each use gives way to its string, the declaration goes."""
+def unpack_string_array(code: str, prefix: str = "_0x") -> str | None:
+    """Script that declares a list of strings under a name that starts with the prefix and uses them by index: each use gives way to its string, the declaration goes."""
     words = code.split(None, 2)
-    if len(words) < 2 or words[0] != "var" or not words[1].startswith("_0x"):
+    if len(words) < 2 or words[0] != "var" or not words[1].startswith(prefix):
         return None
     name, equals = words[1].split("=")[0], code.find("=")
     at = equals + 1
