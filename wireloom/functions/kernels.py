@@ -284,25 +284,29 @@ def parse_pe(data: bytes, reach: int = 4096) -> dict | None:
         def text(at: int) -> str:
             return data[at : data.index(b"\0", at)].decode("latin-1")
 
-        imports, dirs = [], opt + (112 if plus else 96)
+        dirs = opt + (112 if plus else 96)
         table = offset(struct.unpack_from("<I", data, dirs + 8)[0]) if struct.unpack_from("<I", data, dirs - 4)[0] > 1 else None
-        while table and table + 20 <= len(data):
-            names, _, _, dll, first = struct.unpack_from("<IIIII", data, table)
-            if not dll:
-                break
-            size, at = 8 if plus else 4, offset(names or first)
-            while at is not None and at + size <= len(data):
-                value = int.from_bytes(data[at : at + size], "little")
-                if not value:
+        imports: list[dict] = []
+        try:
+            while table and table + 20 <= len(data):
+                names, _, _, dll, first = struct.unpack_from("<IIIII", data, table)
+                if not dll:
                     break
-                ordinal = value & 0xFFFF if value >> (8 * size - 1) else None
-                imports.append({"dll": text(offset(dll)), "name": None if ordinal is not None else text(offset(value) + 2), "ordinal": ordinal})
-                at += size
-            table += 20
+                size, at = 8 if plus else 4, offset(names or first)
+                while at is not None and at + size <= len(data):
+                    value = int.from_bytes(data[at : at + size], "little")
+                    if not value:
+                        break
+                    ordinal = value & 0xFFFF if value >> (8 * size - 1) else None
+                    imports.append({"dll": text(offset(dll)), "name": None if ordinal is not None else text(offset(value) + 2), "ordinal": ordinal})
+                    at += size
+                table += 20
+        except (struct.error, ValueError, TypeError, IndexError):
+            pass  # a broken table: what was read so far stands
         start = offset(entry)
         ep = data[start : start + reach] if start is not None else b""
         return {"size": len(data), "timestamp": stamp, "image_base": image_base & (2**63 - 1), "entry_point": entry, "checksum_claimed": claimed, "checksum_actual": pe_checksum(data, opt + 64),
-                "characteristics": characteristics, "sections": sections, "imports": imports, "ep_bytes": ep}
+                "characteristics": characteristics, "sections": sections, "imports": imports, "ep_bytes": ep, "entry_at": start}
     except (struct.error, ValueError, TypeError, IndexError):
         return None
 

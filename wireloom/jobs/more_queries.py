@@ -24,7 +24,7 @@ from ..operators import report as R
 from ..sources import captures, sinks
 from ..streaming import streams as T
 from .flow_queries import ran
-from .stand_ins import event_packets, host_of, page_frames, part_executables, table
+from .stand_ins import event_packets, host_of, page_frames, part_executables, small_pe, table
 from .web_queries import FILENAME, SHORT, VISITS, conversations
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -288,3 +288,27 @@ def deobfuscate_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scripts = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text").mapInPandas(packed, "doc_id long, code string")
     return O.deobfuscate(scripts).select("doc_id", F.array_join("detected", ",").alias("detected"), "plain")
+
+
+@query("packer_scan", r"""WITH d AS (SELECT doc_id, doc_id % 3 = 0 AS odd, hex(encode(text)) AS h FROM documents WHERE text IS NOT NULL),
+s AS (SELECT doc_id, substr(h, 1, 4) AS a, substr(h, 7, 26) AS b, substr(h, 7, 1018) AS c, doc_id % 2 = 0 AS ep FROM d WHERE length(h) >= 32),
+i AS (SELECT item_id, hex(encode(text)) AS h FROM benchmark WHERE length(text) > 9), p AS (SELECT item_id, substr(h, 1, 18) AS start, rtrim(regexp_replace(h, '(.{18})..', '\1..', 'g'), '.') AS pat FROM i)
+SELECT d.doc_id, CASE WHEN ep THEN 'e' ELSE 's' END || s.doc_id AS name, CASE WHEN ep THEN 'entry' ELSE 'section' END AS place, 0::BIGINT AS at FROM s JOIN d ON substr(d.h, 1, 4) = a AND substr(d.h, 7, 26) = b AND starts_with(substr(d.h, 7), c) WHERE NOT (ep AND odd)
+UNION ALL SELECT doc_id, 'a' || item_id, 'anywhere', length(regexp_extract(d.h, '^((?:..)*?)' || pat, 1)) // 2 FROM d JOIN p ON contains(d.h, start) WHERE regexp_matches(d.h, '^(?:..)*' || pat)""")
+def packer_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as code of executables, every third with its entry point elsewhere. Signatures: the starts of documents, of even ones for
+    the entry point and of odd ones for starts of sections, with any third byte; whole benchmark items for anywhere, with any tenth byte."""
+    docs = table(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")
+
+    def filed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"capture": "documents", "id": f["doc_id"], "value": [small_pe(1_300_000_000, k % 3 == 0, t.encode(), ["ExitProcess"]) for k, t in zip(f["doc_id"], f["text"])]})
+
+    h = F.hex(F.encode(F.col("text"), "UTF-8"))
+    even = F.col("doc_id") % 2 == 0
+    starts = docs.where(F.length(h) >= 32).select(F.concat(F.when(even, "e").otherwise("s"), "doc_id").alias("name"), F.concat(F.substring(h, 1, 4), F.lit("??"), F.substring(h, 7, 1018)).alias("pattern_hex"), even.alias("ep_only"), (~even).alias("section_start_only"))
+    items = table(spark, sf_dir, "benchmark").where("length(text) > 9")
+    wild = F.regexp_replace(F.regexp_replace(h, "(.{18})..", "$1??"), r"(\?\?)+$", "")
+    items = items.select(F.concat(F.lit("a"), "item_id").alias("name"), wild.alias("pattern_hex"), F.lit(False).alias("ep_only"), F.lit(False).alias("section_start_only"))
+    found = X.packer_matches(docs.mapInPandas(filed, "capture string, id long, value binary"), starts.unionByName(items))
+    return found.select(F.col("object_id").alias("doc_id"), "name", "place", (F.col("at") - 0x200).alias("at"))

@@ -110,18 +110,19 @@ def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def small_pe(stamp: int, odd_entry: bool, body: bytes, calls: list[str]) -> bytes:
     """A minimal executable: .text with the body, .idata with the calls of kernel32.dll; the entry point in .text or, odd, in .idata."""
+    va = 0x1000 + max(0x1000, -(-len(body) // 0x1000) * 0x1000)
     names = b"".join(struct.pack("<H", 0) + c.encode() + b"\0" for c in calls)
-    at, places = 0x2000 + 60 + 4 * (len(calls) + 1), []
+    at, places = va + 60 + 4 * (len(calls) + 1), []
     for c in calls:
         places.append(at)
         at += 3 + len(c)
-    idata = struct.pack("<IIIII", 0x2000 + 40, 0, 0, at, 0x2000 + 40) + b"\0" * 20 + struct.pack(f"<{len(calls) + 1}I", *places, 0)
+    idata = struct.pack("<IIIII", va + 40, 0, 0, at, va + 40) + b"\0" * 20 + struct.pack(f"<{len(calls) + 1}I", *places, 0)
     idata = idata.ljust(60 + 4 * (len(calls) + 1), b"\0") + names + b"kernel32.dll\0"
     head = b"MZ".ljust(0x3C, b"\0") + struct.pack("<I", 0x40) + b"PE\0\0" + struct.pack("<HHIIIHH", 0x14C, 2, stamp, 0, 0, 224, 0x102)
-    opt = struct.pack("<HBBIIIIIIIIIHHHHHHIIIIHHIIIIII", 0x10B, 1, 0, 0, 0, 0, 0x2000 if odd_entry else 0x1000, 0x1000, 0x2000, 0x400000, 0x1000, 0x200, 4, 0, 0, 0, 4, 0, 0, 0x3000, 0x200, 0, 3, 0, 0, 0, 0, 0, 0, 16)
-    opt += b"\0" * 8 + struct.pack("<II", 0x2000, len(idata))
+    opt = struct.pack("<HBBIIIIIIIIIHHHHHHIIIIHHIIIIII", 0x10B, 1, 0, 0, 0, 0, va if odd_entry else 0x1000, 0x1000, va, 0x400000, 0x1000, 0x200, 4, 0, 0, 0, 4, 0, 0, va + 0x1000, 0x200, 0, 3, 0, 0, 0, 0, 0, 0, 16)
+    opt += b"\0" * 8 + struct.pack("<II", va, len(idata))
     opt = opt.ljust(224, b"\0")
-    sections = struct.pack("<8sIIIIIIHHI", b".text", len(body), 0x1000, len(body), 0x200, 0, 0, 0, 0, 0) + struct.pack("<8sIIIIIIHHI", b".idata", len(idata), 0x2000, len(idata), 0x200 + len(body), 0, 0, 0, 0, 0)
+    sections = struct.pack("<8sIIIIIIHHI", b".text", len(body), 0x1000, len(body), 0x200, 0, 0, 0, 0, 0) + struct.pack("<8sIIIIIIHHI", b".idata", len(idata), va, len(idata), 0x200 + len(body), 0, 0, 0, 0, 0)
     return (head + opt + sections).ljust(0x200, b"\0") + body + idata
 
 

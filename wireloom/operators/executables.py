@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import pandas as pd
 import pyarrow as pa
@@ -11,8 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from ..functions import kernels
+from ..functions import kernels, packers
 from ..functions.ordinals import ordinal_names
+from ..functions.tables import written
 
 #: Section names where an entry point is usual, names of calls to warn of, and files that only drivers import from.
 GOOD_ENTRY_SECTIONS = (".text", ".code", "CODE", "INIT", "PAGE")
@@ -106,19 +108,89 @@ def probably_packed(sections: Column, size: Column) -> Column:
     return F.coalesce((whole > 0) & (dense / F.nullif(whole, F.lit(0)) > 0.2), F.lit(False))
 
 
-def packer_hits(hexes: Column, signatures: list[tuple[str, str]]) -> Column:
-    tests = [F.when(hexes.rlike("^" + p.replace("??", "..")), F.struct(F.lit(len(p)).alias("n"), F.lit(name).alias("name"))) for name, p in signatures]
-    return F.filter(F.array(*tests), lambda x: x.isNotNull()) if tests else F.array().cast("array<struct<n:int,name:string>>")
+#: Bytes of packer signatures that a scan holds at a time.
+SIGNATURE_BLOCK = 32 << 20
+PACKER = "capture string, object_id long, name string, place string, section int, at long, size int"
+Signature = tuple[str, str, bool, bool]
+
+
+def signature_rows(signatures: DataFrame) -> DataFrame:
+    """(name, pattern_hex, ep_only, section_start_only) without nulls; without the flags, signatures of the entry point."""
+    flag = lambda c, other: F.coalesce(F.col(c), F.lit(other)) if c in signatures.columns else F.lit(other)
+    return signatures.where("pattern_hex is not null").select("name", "pattern_hex", flag("ep_only", True).alias("ep_only"), flag("section_start_only", False).alias("section_start_only"))
+
+
+def scan_block(objs: DataFrame, signatures: list[Signature]) -> DataFrame:
+    """packer_matches for signatures that a task can hold."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(PACKER))
+    of = {
+        "entry": [s for s in signatures if s[2] and not s[3]],
+        "section": [s for s in signatures if s[3]],
+        "anywhere": [s for s in signatures if not s[2] and not s[3]],
+    }
+
+    def matches(value: bytes, made: dict[str, packers.Signatures]) -> Iterator[tuple[str, int | None, int, int]]:
+        """(place, section, offset in the file, number of the signature)"""
+        pe = kernels.parse_pe(value, 0)
+        if pe and pe["entry_at"] is not None:
+            yield from (("entry", None, pe["entry_at"], i) for i in made["entry"].starting(value, pe["entry_at"]))
+        for n, s in enumerate(pe["sections"] if pe else []):
+            yield from (("section", n, s["raw_ptr"], i) for i in made["section"].starting(value, s["raw_ptr"]))
+        if pe:
+            yield from (("anywhere", None, at, i) for i, at in made["anywhere"].anywhere(value).items())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = {place: packers.Signatures(s[1] for s in some) for place, some in of.items()}
+        for b in batches:
+            for capture, id, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2)):
+                out = [
+                    {"capture": capture, "object_id": id, "name": of[place][i][0], "place": place, "section": n, "at": at, "size": made[place].sizes[i]}
+                    for place, n, at, i in matches(value.as_py(), made)
+                ]
+                yield pa.RecordBatch.from_pylist(out, schema=arrow)
+
+    return objs.where(F.hex(F.substring("value", 1, 2)) == "4D5A").select("capture", "id", "value").mapInArrow(run, PACKER)
+
+
+def packer_matches(objs: DataFrame, signatures: DataFrame, block: int = SIGNATURE_BLOCK) -> DataFrame:
+    """(capture, object_id, name, place, section, at, size): packer signatures that match objects (capture, id, value) that are executables.
+
+    signatures: name, pattern_hex (?? for any byte), ep_only, section_start_only. With section_start_only they match where a
+    section's data starts (section: its number), else with ep_only where the entry point lies in the file, else anywhere,
+    of which the first place is given. at: offset in the file; size: bytes of the signature. A task holds
+    `block` bytes of signatures; more are dealt into blocks, each a scan of the objects whose rows are written.
+    """
+    rows = signature_rows(signatures)
+    total = rows.agg(F.sum(F.length("pattern_hex"))).first()[0] or 0
+    n = max(1, -(-total // (2 * block)))
+    part = F.pmod(F.xxhash64("pattern_hex", "name"), F.lit(n))
+    of_block = lambda i: [tuple(r) for r in (rows if n == 1 else rows.where(part == i)).collect()]
+    if n == 1:
+        return scan_block(objs, of_block(0))
+    return reduce(DataFrame.unionByName, [written(scan_block(objs, of_block(i)), "packers") for i in range(n)])
+
+
+def starting_packers(heads: DataFrame, head: str, signatures: list[tuple[str, str]]) -> DataFrame:
+    """heads with hits, the (n, name) of signatures (name, pattern) that the bytes in `head` start with; the bytes go."""
+    kind = T.StructType([f for f in heads.schema.fields if f.name != head]).add("hits", T.ArrayType(T.StructType.fromDDL("n int, name string")))
+    arrow, rest = to_arrow_schema(kind), [c for c in heads.columns if c != head]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        made = packers.Signatures(p for _, p in signatures)
+        for b in batches:
+            hits = [[{"n": made.sizes[i], "name": signatures[i][0]} for i in made.starting(x or b"", 0)] for x in b.column(head).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*[b.column(c) for c in rest], pa.array(hits, arrow.field("hits").type)], schema=arrow)
+
+    return heads.mapInArrow(run, kind)
 
 
 def match_section_packers(pe: DataFrame, signatures: list[tuple[str, str]]) -> DataFrame:
     """(capture, object_id, n, section, best): signatures that match where a section starts; sections without a match are left out."""
-    rows = pe.select("capture", "object_id", F.posexplode("sections").alias("n", "s"))
-    hits = packer_hits(F.hex("s.head"), signatures)
-    return rows.select("capture", "object_id", "n", F.col("s.name").alias("section"), F.array_max(hits)["name"].alias("best")).where("best is not null")
+    rows = pe.select("capture", "object_id", F.posexplode("sections").alias("n", "s")).select("capture", "object_id", "n", F.col("s.name").alias("section"), F.col("s.head").alias("head"))
+    return starting_packers(rows, "head", signatures).select("capture", "object_id", "n", "section", F.array_max("hits")["name"].alias("best")).where("best is not null")
 
 
 def match_packers(pe: DataFrame, signatures: list[tuple[str, str]]) -> DataFrame:
     """(capture, object_id, names, best): packer signatures (name, pattern of hex with ?? for any byte) that match at the entry point; best: the longest."""
-    hits = packer_hits(F.hex("ep_bytes"), signatures)
-    return pe.select("capture", "object_id", F.array_sort(F.transform(hits, lambda x: x["name"])).alias("names"), F.array_max(hits)["name"].alias("best"))
+    rows = starting_packers(pe.select("capture", "object_id", "ep_bytes"), "ep_bytes", signatures)
+    return rows.select("capture", "object_id", F.array_sort(F.transform("hits", lambda x: x["name"])).alias("names"), F.array_max("hits")["name"].alias("best"))
