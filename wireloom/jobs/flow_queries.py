@@ -188,7 +188,13 @@ def ran(stream: DataFrame) -> DataFrame:
     """The rows of a stream over what is there now, written to the shared folder and read again."""
     spark = stream.sparkSession
     base = shared_path(spark, "stream")
-    query = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).outputMode("append").start()
+    name, provider = T.KEYED_STATE
+    before = spark.conf.get(name)
+    spark.conf.set(name, provider)
+    try:
+        query = stream.writeStream.format("parquet").option("path", f"{base}/rows").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).outputMode("append").start()
+    finally:
+        spark.conf.set(name, before)
     query.awaitTermination()
     return spark.read.schema(stream.schema).parquet(f"{base}/rows")
 
@@ -198,15 +204,18 @@ def event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.readStream.schema(table(spark, sf_dir, "events").schema).parquet(f"{sf_dir}/event[s].parquet")
 
 
-@query("stream_connections", """WITH p AS (SELECT user_id::VARCHAR AS flow_key, event_id, epoch_us(ts) AS ts_us, event_type, round(value * 100)::BIGINT AS size, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events),
-c AS (SELECT *, sum((event_type = 'signup' OR b IS NULL OR b = 'error')::INT) OVER (PARTITION BY flow_key ORDER BY event_id)::BIGINT AS conn_no FROM p),
-g AS (SELECT flow_key, conn_no, min(ts_us) AS first_ts_us, max(ts_us) AS last_ts_us, count(*) AS packets, sum(size)::BIGINT AS bytes, arg_max(event_type, event_id) = 'error' AS closed, max(conn_no) OVER (PARTITION BY flow_key) AS last FROM c GROUP BY flow_key, conn_no)
-SELECT flow_key, conn_no, first_ts_us, last_ts_us, packets, bytes, closed FROM g WHERE closed OR conn_no < last""")
+#: Connections of events: a signup opens one, and so does a purchase while none is open; an error ends it; the rest is dropped while none is open.
+EVENT_CONNECTIONS = """WITH e AS (SELECT user_id::VARCHAR AS flow_key, event_id, epoch_us(ts) AS ts_us, event_type, round(value * 100)::BIGINT AS size, coalesce(sum((event_type = 'error')::INT) OVER (PARTITION BY user_id ORDER BY event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS part FROM events),
+a AS (SELECT *, sum((event_type IN ('signup', 'purchase'))::INT) OVER (PARTITION BY flow_key, part ORDER BY event_id) AS asked FROM e), p AS (SELECT *, lag(asked) OVER (PARTITION BY flow_key, part ORDER BY event_id) AS b FROM a),
+c AS (SELECT *, sum((event_type = 'signup' OR (event_type = 'purchase' AND coalesce(b, 0) = 0))::INT) OVER (PARTITION BY flow_key ORDER BY event_id) AS n FROM p WHERE asked > 0),
+g AS (SELECT flow_key, n, min(event_id) AS first_packet_no, arg_min(ts_us, event_id) AS first_ts_us, arg_max(ts_us, event_id) AS last_ts_us, count(*) AS packets, sum(size)::BIGINT AS bytes, arg_max(event_type, event_id) = 'error' AS closed, max(n) OVER (PARTITION BY flow_key) AS last FROM c GROUP BY flow_key, n)
+SELECT flow_key, first_packet_no, first_ts_us, last_ts_us, packets, bytes, closed FROM g"""
+
+
+@query("stream_connections", EVENT_CONNECTIONS + " WHERE closed OR n < last")
 def stream_connections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = event_stream(spark, sf_dir)
-    kind = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
-    p = e.select(F.col("user_id").cast("string").alias("flow_key"), F.col("event_id").alias("packet_no"), F.col("ts").cast("timestamp").alias("ts"), micros(F.col("ts")).alias("ts_us"), kind.alias("kind"), F.round(F.col("value") * 100).cast("long").alias("size"))
-    return ran(T.stream_connections(p, idle_us=10 * 365 * 86_400_000_000))
+    """Connections that ended; those still open wait for what is to come."""
+    return ran(T.stream_connections(event_packets(spark, sf_dir, event_stream(spark, sf_dir)), idle_us=10 * 365 * 86_400_000_000))
 
 
 @query("stream_dedupe", "SELECT DISTINCT user_id::VARCHAR AS host, event_type AS uri FROM events")

@@ -23,7 +23,7 @@ from ..operators import packets as P
 from ..operators import report as R
 from ..sources import captures, sinks
 from ..streaming import streams as T
-from .flow_queries import ran
+from .flow_queries import EVENT_CONNECTIONS, ran
 from .stand_ins import event_packets, host_of, page_frames, part_executables, small_pe, table
 from .web_queries import FILENAME, SHORT, VISITS, conversations
 
@@ -199,14 +199,12 @@ def streamed_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("capture").cast("long").alias("file"), "packet_no", "ts_us", F.md5("frame").alias("md5"))
 
 
-@query("stream_connections_flushed", """WITH p AS (SELECT user_id::VARCHAR AS flow_key, event_id, epoch_us(ts) AS ts_us, event_type, round(value * 100)::BIGINT AS size, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS b FROM events),
-c AS (SELECT *, sum((event_type = 'signup' OR b IS NULL OR b = 'error')::INT) OVER (PARTITION BY flow_key ORDER BY event_id)::BIGINT AS conn_no FROM p)
-SELECT flow_key, conn_no, min(ts_us) AS first_ts_us, max(ts_us) AS last_ts_us, count(*) AS packets, sum(size)::BIGINT AS bytes, arg_max(event_type, event_id) = 'error' AS closed FROM c GROUP BY flow_key, conn_no""")
+@query("stream_connections_flushed", EVENT_CONNECTIONS)
 def stream_connections_flushed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All connections: those still open are flushed when event time, moved on by a last packet of no flow, has left them idle for an hour."""
     p = event_packets(spark, sf_dir)
     day = F.max("ts_us") + 86_400_000_000
-    end = p.agg(F.lit("").alias("flow_key"), F.lit(-1).cast("long").alias("packet_no"), F.timestamp_micros(day).alias("ts"), day.alias("ts_us"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("size"))
+    end = p.agg(F.lit("").alias("flow_key"), F.lit(-1).cast("long").alias("packet_no"), F.timestamp_micros(day).alias("ts"), day.alias("ts_us"), F.lit(0).alias("kind"), F.lit(0).cast("long").alias("size"), F.lit(True).alias("asks"))
     path = shared_path(spark, "arriving")
     p.unionByName(end).write.parquet(path)
     return ran(T.stream_connections(spark.readStream.schema(p.schema).parquet(path))).where("flow_key <> ''")

@@ -101,11 +101,14 @@ def page_frames(spark: SparkSession, sf_dir: str, part: int = 1200, odd: bool =
     return rows.select("capture", (F.col("conn_no") * 100_000 + F.col("n")).alias("packet_no"), F.lit(1).alias("link_type"), (F.col("ts_us") + F.col("n")).alias("ts_us"), frame.alias("frame"))
 
 
-def event_packets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as packets: a flow per user, signup as SYN, error as FIN, the value in cents as size."""
-    e = table(spark, sf_dir, "events")
+def event_packets(spark: SparkSession, sf_dir: str, events: DataFrame | None = None) -> DataFrame:
+    """Events as packets: a flow per user, signup as SYN, error as FIN, a purchase as a request, the value in cents as size."""
+    e = table(spark, sf_dir, "events") if events is None else events
     kind = F.when(F.col("event_type") == "signup", 1).when(F.col("event_type") == "error", -1).otherwise(0)
-    return e.select(F.col("user_id").cast("string").alias("flow_key"), F.col("event_id").alias("packet_no"), F.col("ts").cast("timestamp").alias("ts"), micros(F.col("ts")).alias("ts_us"), kind.alias("kind"), F.round(F.col("value") * 100).cast("long").alias("size"))
+    return e.select(
+        F.col("user_id").cast("string").alias("flow_key"), F.col("event_id").alias("packet_no"), F.col("ts").cast("timestamp").alias("ts"), micros(F.col("ts")).alias("ts_us"), kind.alias("kind"),
+        F.round(F.col("value") * 100).cast("long").alias("size"), (F.col("event_type") == "purchase").alias("asks"),
+    )
 
 
 def small_pe(stamp: int, odd_entry: bool, body: bytes, calls: list[str]) -> bytes:
