@@ -134,3 +134,13 @@ def test_packed_in_base_95_and_with_a_list_of_strings():
     assert kernels.unpack_packed(packed("A(0,a)", 95, words)) == "w33(w16,w65)"
     assert kernels.unpack_packed(packed('3 4=["x","y z"];5(4[0],4[1],4[2])', 62, ["", "", "", "var", "_s", "f"])) == 'f("x","y z",_s[2])'
     assert kernels.unpack_packed(packed("0", 70, ["a"])) is None
+
+
+def test_arguments_of_packed_scripts():
+    from wireloom.functions.kernels import call_arguments, unpack_packed
+
+    code = r"eval(function(p,a,c,k,e,d){while(c--){p('x')};return p} ( '0(\'}(\');1' , 2 , 2 , 'alert|done'.split('|'),0,{}))"
+    assert call_arguments(code) == [r"0(\'}(\');1", "2", "2", "alert|done"]
+    assert unpack_packed(code) == "alert('}(');done"
+    for broken in ("}('", "}('a'", "}('a',2,2,'b'", "}('a',2,2,'b')", "}('a',x,1,'b'.split('|')", "}(" * 50_000, "}('" * 50_000, "}" + " " * 50_000):
+        assert unpack_packed(broken) is None

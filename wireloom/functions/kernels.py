@@ -142,18 +142,53 @@ def entropy(body: bytes) -> float:
     return float(-(p * np.log2(p)).sum()) + 0.0
 
 
+def after_blanks(code: str, at: int) -> int:
+    while at < len(code) and code[at].isspace():
+        at += 1
+    return at
+
+
+def argument(code: str, at: int) -> tuple[str, int] | None:
+    """(text, place after it) of a call's argument: a literal in single quotes without them, or what stands before the next comma, bracket or quote."""
+    at = end = after_blanks(code, at)
+    if code.startswith("'", at):
+        end += 1
+        while end < len(code) and code[end] != "'":
+            end += 2 if code[end] == "\\" else 1
+        return (code[at + 1 : end], end + 1) if end < len(code) else None
+    while end < len(code) and code[end] not in ",)'":
+        end += 1
+    return code[at:end].rstrip(), end
+
+
+def call_arguments(code: str) -> list[str] | None:
+    """The first four arguments of the first call of a function's text whose first is a literal and whose fourth is a literal split at bars."""
+    brace = code.find("}")
+    while brace >= 0:
+        at = after_blanks(code, brace + 1)
+        found: list[str] = []
+        if code.startswith("(", at) and code.startswith("'", after_blanks(code, at + 1)):
+            got = argument(code, at + 1)
+            while got is not None:
+                found.append(got[0])
+                if len(found) == 4 and code.startswith(".split('|')", got[1]):
+                    return found
+                comma = after_blanks(code, got[1])
+                got = argument(code, comma + 1) if len(found) < 4 and code.startswith(",", comma) else None
+        brace = code.find("}", brace + 1)
+    return None
+
+
 def unpack_packed(code: str) -> str | None:
     """Script of the form eval(function(p,a,c,k,e,..}('payload',base,count,'words'.split('|'),..)) with its words put back, and the strings of a list that it begins with.
 
     Bases 2 to 62 count in digits and letters, base 95 in the printable ASCII characters.
     """
-    m = re.search(r"\}\s*\(\s*'(.*)',\s*(\d+|\[\]),\s*(\d+),\s*'(.*?)'\.split\('\|'\)", code, re.DOTALL)
-    if not m:
-        return None
-    if max(len(m.group(2)), len(m.group(3))) > MOST_DIGITS:
+    got = call_arguments(code)
+    if got is None or not got[1].isdecimal() and got[1] != "[]" or not got[2].isdecimal() or max(len(got[1]), len(got[2])) > MOST_DIGITS:
         return None
-    payload, base, count, words = m.group(1), m.group(2), int(m.group(3)), m.group(4).split("|")
-    base = 62 if base == "[]" else int(base)
+    payload, count, words = got[0], int(got[2]), got[3].split("|")
+    base = 62 if got[1] == "[]" else int(got[1])
     if count != len(words) or not (2 <= base <= 62 or base == 95):
         return None
     letters = "0123456789abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ" if base <= 62 else "".join(map(chr, range(32, 127)))

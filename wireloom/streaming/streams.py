@@ -78,8 +78,10 @@ class Idle:
         for at in list(self.handle.listTimers()):
             self.handle.deleteTimer(at)
 
-    def start(self, last_us: int, now: TimerValues) -> None:
-        self.stop()
+    def start(self, last_us: int, now: TimerValues, known: bool) -> None:
+        """known: whether the flow may have a timer already; a flow that is new spares the look-up."""
+        if known:
+            self.stop()
         self.handle.registerTimer(max((last_us + self.idle_us) // 1000, now.getCurrentWatermarkInMs() + 1))
 
 
@@ -100,7 +102,7 @@ class Connections(StatefulProcessor):
             done += conn.take(key[0], int(no), int(ts), int(kind), int(size), bool(asks))
         if conn.now is not None:
             self.open.update(conn.now)
-            self.idle.start(conn.now[2], timerValues)
+            self.idle.start(conn.now[2], timerValues, before is not None)
         elif before is not None:
             self.open.clear()
             self.idle.stop()
@@ -247,7 +249,7 @@ class Segments(StatefulProcessor):
             yield pd.DataFrame(out, columns=names_of(SEGMENT))
         self.save(sides, before, last)
         if sides.conn is not None:
-            self.idle.start(last, timerValues)
+            self.idle.start(last, timerValues, known)
         elif known:
             self.idle.stop()
 
