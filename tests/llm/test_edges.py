@@ -169,3 +169,20 @@ def test_pipeline_stages(spark, docs, empty, tmp_path):
             rows = stage(spark, rows, str(tmp_path))
             assert i == 4 or rows.columns == docs.columns
         rows.count()
+
+
+def test_no_bucket_of_keys_is_hot(spark):
+    """Keys of documents of any mix of weights fall into many buckets, none of which holds much of its source."""
+    from pyspark.sql import functions as F
+
+    from wireloom.llm import mixing
+
+    n = 200_000
+    u = (F.shiftrightunsigned(F.xxhash64("id"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+    for weight in (F.lit(0.1), F.lit(1.0), F.when(F.col("id") % 2 == 0, 0.1).otherwise(0.7)):
+        key = -F.log(u) / weight
+        rows = spark.range(n).select(mixing.bucket_of(key).alias("b"), key.alias("k"))
+        sizes = rows.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.min("k").alias("low"), F.max("k").alias("high")).orderBy("b").collect()
+        assert max(r.n for r in sizes) < n * 0.00025 + 6 * (n * 0.00025) ** 0.5 and sum(r.n for r in sizes) == n
+        assert all(a.high < b.low for a, b in zip(sizes, sizes[1:]))
+    assert spark.range(1).select(mixing.bucket_of(F.lit(0.0)).alias("b")).first().b == -60 * mixing.STEPS

@@ -3,21 +3,26 @@
 Targets: the sources share the total size by weight, each up to a multiple of its own size, the excess shared again.
 A source's target is a number of complete epochs and a rest. For the rest its documents are taken in the order
 of exponential keys, -ln(u) / w with w the document's quality weight and u a hash, up to the budget by prefix
-sums: bucket sums first, then places within a bucket, so no task holds a source. Rows that repeat are one row with
-a count throughout.
+sums: bucket sums first, then places within a bucket, so no task holds a source. Buckets are even steps of the
+key's logarithm: whatever the weights, an exponential key falls into a given step with a chance of at most
+ln(2) / (e * STEPS), so no bucket is expected to hold more than that share of its source's rows. Rows that repeat are
+one row with a count throughout.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .common import append_columns, col, fresh, read, row_key, whole_row_key, written
 
-BUCKETS = 4096
+#: Buckets a doubling of the key; a bucket holds at most 0.025 % of a source's different rows, by expectation.
+STEPS = 1024
+#: Least key that is told apart, below the least that a hash of 53 bits gives.
+LEAST_KEY = 2.0**-60
 MAX_EPOCHS = 3
 #: Rows of the plan that may be sent to all executors.
 MAX_BROADCAST = 100_000
@@ -75,6 +80,11 @@ def source_targets(sizes: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     return rows.select("source", "source_size", target.alias("target"))
 
 
+def bucket_of(order_key: Column) -> Column:
+    """The step of the key's logarithm, rising with the key."""
+    return F.floor(F.log2(F.greatest(order_key, F.lit(LEAST_KEY))) * STEPS).cast("int")
+
+
 def mix_plan(docs: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     """One row per different (doc_id, text, source): doc_id, source, row_key, size, rows (that repeat), source_size, target, epochs, extra.
 
@@ -84,7 +94,7 @@ def mix_plan(docs: DataFrame, max_epochs: int = MAX_EPOCHS) -> DataFrame:
     tag = F.coalesce(F.concat(F.lit("="), "source"), F.lit("")).alias("tag")
     rows = sized(docs).select("doc_id", "source", "row_key", "size", "weight", tag).groupBy("doc_id", "source", "row_key", "tag", "size", "weight").agg(F.count(F.lit(1)).alias("rows"))
     u = (F.shiftrightunsigned(F.xxhash64("row_key", "tag"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-    rows = rows.withColumn("order_key", -F.log(u) / F.col("weight")).withColumn("bucket", F.least(F.floor((1 - F.exp(-F.col("order_key"))) * BUCKETS), F.lit(BUCKETS - 1)).cast("int"))
+    rows = rows.withColumn("order_key", -F.log(u) / F.col("weight")).withColumn("bucket", bucket_of(F.col("order_key")))
     rows = written(rows, "mix")
     mass = F.sum(F.col("size") * F.col("rows"))
     buckets = rows.groupBy("tag", "source", "bucket").agg(mass.alias("mass"))
