@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.tables import written
+from ..functions.tables import drop, written
 
 
 def authority(url):
@@ -49,20 +49,26 @@ def flow_roots(edges: DataFrame) -> DataFrame:
 def flow_paths(edges: DataFrame, isolated: DataFrame | None = None) -> DataFrame:
     """(capture, depth, path): paths from Client to every host; an edge hangs below its parent's own edge if that has a lower index.
 
-    One join a level, over edges of hosts; indexes rise along a path, so the levels end even on cycles. Every level
-    is written, so that none is computed again for the next. Give edges that are written or cached: each level reads them.
+    Every edge holds the part of its path that is known and the edge above that part; each round puts the part of the
+    edge above before its own, so parts double and a chain of n hosts takes about log2(n) rounds. Indexes rise along a
+    path, so this ends even on cycles. A round is one join of edges by (capture, index), written; the table of the round
+    before goes. A host has at most one edge as a child, as flow_edges gives them; give edges that are written or cached.
     """
-    roots = flow_roots(edges)
-    top = roots.select("capture", "parent").distinct()
+    above = edges.select("capture", F.col("child").alias("parent"), F.col("idx").alias("over"))
+    rows = edges.join(above, ["capture", "parent"], "left").withColumn("up", F.when(F.col("over") < F.col("idx"), F.col("over")))
+    head = F.when(F.col("up").isNull(), F.array(F.lit("Client"), "parent", "child")).otherwise(F.array("child"))
+    rows = written(rows.select("capture", "idx", "up", head.alias("path")), "flow-paths")
+    while not rows.where("up is not null").isEmpty():
+        upper = rows.select("capture", F.col("idx").alias("up"), F.col("up").alias("next_up"), F.col("path").alias("before"))
+        longer = F.when(F.col("before").isNull(), F.col("path")).otherwise(F.concat("before", "path"))
+        longer = written(rows.join(upper, ["capture", "up"], "left").select("capture", "idx", F.col("next_up").alias("up"), longer.alias("path")), "flow-paths")
+        drop(rows)
+        rows = longer
+    top = rows.select("capture", F.get("path", F.lit(1)).alias("parent")).distinct()
     if isolated is not None:
         top = top.unionByName(isolated.select("capture", F.col("host").alias("parent"))).distinct()
     out = top.select("capture", F.lit(1).alias("depth"), F.array(F.lit("Client"), "parent").alias("path"))
-    level = roots.select("capture", "idx", "child", F.lit(2).alias("depth"), F.array(F.lit("Client"), "parent", "child").alias("path"))
-    below = edges.select("capture", F.col("idx").alias("next_idx"), F.col("parent").alias("child"), F.col("child").alias("next"))
-    while not (level := written(level, "flow-level")).isEmpty():
-        out = out.unionByName(level.select("capture", "depth", "path"))
-        level = level.join(below, ["capture", "child"]).where("next_idx > idx").select("capture", F.col("next_idx").alias("idx"), F.col("next").alias("child"), (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("next")).alias("path"))
-    return out
+    return out.unionByName(rows.select("capture", (F.size("path") - 1).alias("depth"), "path"))
 
 
 def flow_size(edges: DataFrame, isolated: DataFrame) -> DataFrame:
