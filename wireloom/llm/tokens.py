@@ -18,6 +18,7 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -35,8 +36,6 @@ CACHE_WORDS = 1_600_000
 PARTS = re.compile(rb"(?m)^([!-&(-/:-@\[-`{-~]*)([a-z\x80-\xff]+)([!-/:-@\[-`{-~]*)$|^(.+)$")
 #: Lower-case letters of Latin-1, in UTF-8.
 LATIN = re.compile(rb"(?:[a-z]|\xc3[\x9f-\xb6\xb8-\xbf])+")
-#: Text bytes whose words are looked up together.
-GROUP_BYTES = 2 << 20
 END_ID = 1
 
 
@@ -58,9 +57,6 @@ class WordEncoder:
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
 
-    def encode_alone(self, word: bytes) -> np.ndarray:
-        return np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, np.uint32)
-
     def learn_letters(self, words: list[bytes], tokenizer) -> list[bytes]:
         """Makes words of letters known, many at a time: each ends with the one id that ends a word. Returns those for which that fails."""
         failed, groups = [], [words[at : at + 256] for at in range(0, len(words), 256)]
@@ -74,7 +70,7 @@ class WordEncoder:
         return failed
 
     def learn(self, words: list[bytes]) -> None:
-        """Makes all of words known: a word of signs, letters and signs from its parts, any other as it is."""
+        """Makes all of words known, older ones give way: a word of signs, letters and signs from its parts, any other as it is."""
         if len(self.known) + len(words) > CACHE_WORDS:
             self.known = {b"": b""} | dict(islice(self.known.items(), len(self.known) // 2 + len(words), None))
         known, rest, made = self.known, set(), []
@@ -99,32 +95,34 @@ class WordEncoder:
         for w, before, core, after in made:
             known[w] = known[before] + known[core] + known[after]
 
-    def encode_many(self, texts: list[bytes | None]) -> list[bytes]:
-        """The ids of each text as little-endian unsigned 32-bit integers; some texts at a time, so that each new word is looked up once."""
-        out: list[bytes] = []
-        lists: list[list[bytes]] = []
-        size = 0
-        gc.disable()  # millions of words are no garbage
+    def encode_many(self, texts: pa.Array) -> list[bytes]:
+        """The ids of each text (UTF-8; null: none) as little-endian unsigned 32-bit integers.
+
+        Arrow splits the texts and numbers their different words, each of which is looked up once; what a text's words take
+        from the looked-up ids lies one behind the other.
+        """
+        texts = pa.Array.from_buffers(pa.string(), len(texts), texts.buffers(), offset=texts.offset).fill_null("")
+        lower = pc.if_else(pc.match_substring(texts, "<|"), texts, pc.ascii_lower(texts))
+        lists = pc.ascii_split_whitespace(lower)
+        numbered = lists.flatten().dictionary_encode()
+        gc.disable()  # many words are no garbage
         try:
-            for i, text in enumerate(texts):
-                text = text or b""
-                lists.append((text if b"<|" in text else text.lower()).split())
-                size += len(text)
-                if size >= GROUP_BYTES or i + 1 == len(texts):
-                    words = set().union(*lists)
-                    self.learn([w for w in words if w not in self.known])
-                    for x in lists:
-                        try:
-                            out.append(b"".join(map(self.known.__getitem__, x)))
-                        except KeyError:  # some were dropped to make room
-                            out.append(b"".join([self.known[w] if w in self.known else self.encode_alone(w).tobytes() for w in x]))
-                    lists, size = [], 0
+            words = numbered.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist()
+            found = list(map(self.known.get, words))
+            new = [i for i, ids in enumerate(found) if ids is None]
+            self.learn([words[i] for i in new])
+            for i in new:
+                found[i] = self.known[words[i]]
         finally:
             gc.enable()
-        return out
+        ids = pa.array(found, pa.large_binary()).take(numbered.indices)
+        words_before = np.concatenate(([0], np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False))))
+        ends = np.frombuffer(ids.buffers()[1], np.int64, len(ids) + 1)[words_before].tolist() if len(ids) else [0] * len(words_before)
+        data = memoryview(ids.buffers()[2] or b"") if len(ids) else memoryview(b"")
+        return [bytes(data[start:end]) for start, end in zip(ends, ends[1:])]
 
     def encode(self, text: bytes | None) -> bytes:
-        return self.encode_many([text])[0]
+        return self.encode_many(pa.array([text], pa.binary()))[0]
 
 
 _encoders: dict[str, WordEncoder] = {}
@@ -298,7 +296,7 @@ def write_shards(docs: DataFrame, tokenizer: str, path: str, end_id: int = END_I
         given = doc_ids.to_pylist()
         known = np.array([0 if d is None else d for d in given], np.int64)
         low, high = np.searchsorted(cuts, known, "left").tolist(), np.searchsorted(cuts, known, "right").tolist()
-        ids = [np.frombuffer(x + tail, np.uint32) for x in encoder(tokenizer).encode_many(texts.to_pylist())]
+        ids = [np.frombuffer(x + tail, np.uint32) for x in encoder(tokenizer).encode_many(texts)]
         narrow = [b"\x02" + x.astype(np.uint16).tobytes() if x.max() < 1 << 16 else b"\x04" + x.tobytes() for x in ids]
         part = [len(cuts) + 1 + zlib.crc32(x) % null_ranges if d is None else h if h - l < 2 else l + 1 + zlib.crc32(x) % (h - l) for d, l, h, x in zip(given, low, high, narrow)]
         return [pa.array(part, pa.int32()), pa.array(narrow, pa.binary())]
