@@ -346,18 +346,27 @@ def parse_pe(data: bytes, reach: int = 4096) -> dict | None:
         return None
 
 
+def pcap_order(head: bytes) -> str | None:
+    """The byte order of a pcap file as struct writes it, by its first bytes; None for any other file."""
+    return {b"\xd4\xc3\xb2\xa1": "<", b"\xa1\xb2\xc3\xd4": ">"}.get(head[:4])
+
+
+def pcap_packets(stream: BinaryIO, order: str, link: int) -> Iterator[tuple[int, int, bytes]]:
+    """(link type, microseconds, frame) of the packets from here on; one cut short ends them."""
+    while len(head := stream.read(16)) == 16:
+        sec, usec, size, _ = struct.unpack(order + "IIII", head)
+        frame = stream.read(size)
+        if len(frame) < size:
+            return
+        yield link, sec * 1_000_000 + usec, frame
+
+
 def read_capture(stream: BinaryIO) -> Iterator[tuple[int, int, bytes]]:
     """(link type, microseconds, frame) of each packet of a pcap or pcapng file, read piece by piece; a packet cut short ends it."""
     magic = stream.read(4)
-    if magic in (b"\xd4\xc3\xb2\xa1", b"\xa1\xb2\xc3\xd4"):
-        order, rest = ("<" if magic[0] == 0xD4 else ">"), stream.read(20)
-        link = struct.unpack_from(order + "I", rest, 16)[0] if len(rest) == 20 else 0
-        while len(head := stream.read(16)) == 16:
-            sec, usec, size, _ = struct.unpack(order + "IIII", head)
-            frame = stream.read(size)
-            if len(frame) < size:
-                return
-            yield link, sec * 1_000_000 + usec, frame
+    if order := pcap_order(magic):
+        rest = stream.read(20)
+        yield from pcap_packets(stream, order, struct.unpack_from(order + "I", rest, 16)[0] if len(rest) == 20 else 0)
     elif magic == b"\x0a\x0d\x0d\x0a":
         order, links, head = "<", [], magic + stream.read(4)
         while len(head) == 8:

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from ..operators import flow as L
 from ..operators import http as H
 from ..operators import packets as P
-from ..sources import captures
+from ..sources import captures, sinks
+from ..sources.split_captures import frames_at
 from ..functions import kernels
 from ..functions.tables import shared_path, written
 from ..streaming import streams as T
@@ -56,6 +57,16 @@ def capture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select(F.col("capture").cast("long").alias("file"), "packet_no", "ts_us", F.md5("frame").alias("md5"))
 
 
+@query("split_captures", "SELECT page_id // 1000 AS file, row_number() OVER (PARTITION BY page_id // 1000 ORDER BY page_id) - 1 AS packet_no, page_id * 1000003 AS ts_us, md5(html) AS md5 FROM pages")
+def split_captures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Captures of up to 1000 pages each, a page a packet, as files that are read in splits of 64 KB."""
+    pages = table(spark, sf_dir, "pages").select(F.expr("page_id div 1000").alias("file"), (F.col("page_id") * 1_000_003).alias("ts_us"), F.encode("html", "UTF-8").alias("frame"))
+    folder = shared_path(spark, "captures")
+    written_files = sinks.write_captures(pages.select(F.col("file").cast("string").alias("capture"), F.lit(1).alias("link_type"), "ts_us", F.coalesce("frame", F.lit(b"")).alias("frame")), folder, "ts_us")
+    rows = frames_at(written(written_files, "capture-files").select("path", "length"), 1 << 16)
+    return rows.select(F.regexp_extract("capture", r"(\d+)\.pcap$", 1).cast("long").alias("file"), "packet_no", "ts_us", F.md5("frame").alias("md5"))
+
+
 @query("filter_traffic", "SELECT event_id AS packet_no FROM events WHERE user_id % 250 = 7 AND 1024 + user_id % 60000 = 1031")
 def filter_traffic(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")

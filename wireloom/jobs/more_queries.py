@@ -251,6 +251,15 @@ def written_objects(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(path).where("capture = 'pages'").select("file_name", F.md5("value").alias("md5"))
 
 
+@query("object_files", f"WITH {VISITS} SELECT id || '-' || {FILENAME} AS file_name, octet_length(encode(html))::BIGINT AS length, md5(html) AS md5 FROM n WHERE NOT lower({FILENAME}) LIKE '%.exe'")
+def object_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Objects as files of their own, found again in their capture's folder."""
+    folder = shared_path(spark, "object-files")
+    written(sinks.object_files(O.objects(conversations(spark, sf_dir)), folder, dump_exe=False), "object-paths")
+    files = spark.read.format("binaryFile").load(f"{folder}/pages")
+    return files.select(F.substring_index("path", "/", -1).alias("file_name"), "length", F.md5("content").alias("md5"))
+
+
 @query("written_reports", f"WITH {VISITS} SELECT host, string_agg(id, ',' ORDER BY id) AS ids, min(md5(html)) AS least FROM n GROUP BY host, server_ip_port")
 def written_reports(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The report as its writer leaves it, a JSON line a capture, read again."""

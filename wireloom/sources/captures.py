@@ -7,8 +7,7 @@ import re
 import struct
 import zipfile
 import zlib
-from collections.abc import Iterator
-from typing import BinaryIO
+from collections.abc import Iterable, Iterator
 from urllib.parse import urlsplit
 from xml.etree import ElementTree
 
@@ -25,8 +24,8 @@ MESSAGES = "capture string, flow_key string, conn_no long, msg_no long, is_reque
 BATCH, BATCH_BYTES = 2048, 8 << 20
 
 
-def frame_batches(path: str, stream: BinaryIO) -> Iterator[pa.RecordBatch]:
-    """FRAMES batches of one capture, of bounded numbers of rows and bytes."""
+def frame_batches(path: str, packets: Iterable[tuple[int, int, bytes]], first_no: int = 0) -> Iterator[pa.RecordBatch]:
+    """FRAMES batches of packets of one capture, of bounded numbers of rows and bytes."""
     kinds = [pa.string(), pa.int64(), pa.int32(), pa.int64(), pa.binary()]
     rows: list[tuple] = []
     size = 0
@@ -34,7 +33,7 @@ def frame_batches(path: str, stream: BinaryIO) -> Iterator[pa.RecordBatch]:
     def batch() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=["capture", "packet_no", "link_type", "ts_us", "frame"])
 
-    for no, (link, ts, frame) in enumerate(kernels.read_capture(stream)):
+    for no, (link, ts, frame) in enumerate(packets, first_no):
         rows.append((path, no, link, ts, frame))
         size += len(frame)
         if len(rows) == BATCH or size > BATCH_BYTES:
@@ -53,30 +52,19 @@ def frames_of(files: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for path, content in zip(b.column(0).to_pylist(), b.column(1)):
-                yield from frame_batches(path, io.BytesIO(content.as_py() or b""))
+                yield from frame_batches(path, kernels.read_capture(io.BytesIO(content.as_py() or b"")))
 
     return files.select("path", "content").mapInArrow(run, FRAMES)
 
 
-def frames_at(paths: DataFrame) -> DataFrame:
-    """Frames of the captures at paths (path), of any size: each task opens its files itself, in any store that Arrow reads, and streams them packet by packet."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyarrow import fs
-
-        for b in batches:
-            for path in b.column(0).to_pylist():
-                store, place = fs.FileSystem.from_uri(re.sub(r"^file:/+", "/", path) if path.startswith("file:") else path)
-                with store.open_input_stream(place, buffer_size=4 << 20) as stream:
-                    yield from frame_batches(path, stream)
-
-    return paths.select("path").mapInArrow(run, FRAMES)
-
-
 def read_frames(spark: SparkSession, path: str, large: bool = False) -> DataFrame:
-    """Frames of the capture files at path. Spark hands a file over whole, up to 2 GB; with `large`, files of any size are streamed, a task each, by frames_at."""
+    """Frames of the capture files at path. Spark hands a file over whole, up to 2 GB; with `large`, files of any size are read in splits by split_captures.frames_at."""
     files = spark.read.format("binaryFile").load(path)
-    return frames_at(files.select("path").repartition(spark.sparkContext.defaultParallelism)) if large else frames_of(files)
+    if large:
+        from .split_captures import frames_at
+
+        return frames_at(files.select("path", "length"))
+    return frames_of(files)
 
 
 def direct_request(request: bytes) -> tuple[bytes, int]:
