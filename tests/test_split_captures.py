@@ -47,7 +47,7 @@ def test_a_capture_is_many_tasks_and_few_are_walked(spark, tmp_path):
     assert len(places) > 8 and places[0].begin == 24 and places[0].first_no == 0
     assert sum(p.n for p in places) == 2000 and all(a.first_no + a.n == b.first_no for a, b in zip(places, places[1:]))
     df = S.frames_at(files, 100_000)
-    assert df.rdd.getNumPartitions() == len(places)
+    assert df.rdd.getNumPartitions() == min(len(places), 4 * spark.sparkContext.defaultParallelism)
     assert rows(df) == rows(captures.read_frames(spark, str(tmp_path)))
 
 

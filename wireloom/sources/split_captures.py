@@ -154,12 +154,15 @@ def placed_splits(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame
 
 
 def frames_at(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
-    """Frames of captures of any size (path, length): pcap files in splits of split_bytes, a task each, pcapng whole, packet by packet.
+    """Frames of captures of any size (path, length): pcap files in splits of split_bytes, pcapng whole, packet by packet.
 
-    Rows are those of captures.frames_of. Files are read twice: once to find and count packets, once for their bytes.
+    Splits are dealt over as many tasks as keep all cores busy several times over, and over more where a task would read over
+    SPLIT_BYTES. Rows are those of captures.frames_of. Files are read twice: once to find and count packets, once for their bytes.
     Tables of places hold a row a split. Empty files and files of other kinds give nothing.
     """
     places = written(placed_splits(files, split_bytes), "capture-places")
+    n_splits = places.count()
+    n_tasks = min(n_splits, max(4 * files.sparkSession.sparkContext.defaultParallelism, -(-n_splits * split_bytes // SPLIT_BYTES)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -174,4 +177,4 @@ def frames_at(files: DataFrame, split_bytes: int = SPLIT_BYTES) -> DataFrame:
                     stream.seek(begin)
                     yield from frame_batches(path, islice(kernels.pcap_packets(stream, order, link), n), first_no)
 
-    return places.select("path", "begin", "n", "first_no").repartition(max(places.count(), 1)).mapInArrow(run, FRAMES)
+    return places.select("path", "begin", "n", "first_no").repartition(max(n_tasks, 1)).mapInArrow(run, FRAMES)
