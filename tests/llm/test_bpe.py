@@ -45,3 +45,13 @@ def test_little_memory_for_words(monkeypatch):
     texts = [x for x in ODD if x and len(x) < 100]
     ids = own.encode_many([x.encode() for x in texts])
     assert [hashlib.sha256(x).hexdigest() for x in ids] == [h for _, h, _ in expected(texts)]
+
+
+def test_words_that_give_way_are_learned_again(monkeypatch):
+    """Words of a group that are known when it begins are still known after older ones gave way to its new ones."""
+    monkeypatch.setattr(bpe, "CACHE_WORDS", 6)
+    monkeypatch.setattr(bpe, "GROUP_BYTES", 1)
+    own = bpe.Coder(bpe.default_tokenizer())
+    texts = ["one two three four five", "one two six seven eight"]
+    ids = own.encode_many([x.encode() for x in texts])
+    assert [hashlib.sha256(x).hexdigest() for x in ids] == [h for _, h, _ in expected(texts)]

@@ -161,12 +161,12 @@ class Coder:
         return [bytes(map(self.byte.__getitem__, w)) for w, _ in self.splitter.pre_tokenize_str(plain)]
 
     def learn(self, texts: list[bytes]) -> None:
-        """Makes texts between blanks known: their words that are new are encoded together."""
-        for kept, room in ((self.known, len(texts)), (self.piece, 0)):
-            if len(kept) + room > CACHE_WORDS:
-                stay = dict(islice(kept.items(), len(kept) // 2, None))
-                kept.clear()
-                kept.update(stay)
+        """Makes all of these texts between blanks known, older ones give way: words that are new are encoded together."""
+        if sum(w not in self.known for w in texts) + len(self.known) > CACHE_WORDS:
+            self.known = dict(islice(self.known.items(), len(self.known) // 2, None))
+        if len(self.piece) > CACHE_WORDS:
+            self.piece = dict(islice(self.piece.items(), len(self.piece) // 2, None))
+        texts = [w for w in texts if w not in self.known]  # only now: what gave way may be among them
         cut = [self.pieces(w) for w in texts]
         new = list({p for own in cut for p in own if p not in self.piece})
         self.piece.update(zip(new, self.merger.encode(new)))
@@ -186,7 +186,7 @@ class Coder:
                 size += len(text)
                 if size >= GROUP_BYTES or i + 1 == len(texts):
                     words = set().union(*lists)
-                    self.learn([w for w in words if isinstance(w, bytes) and w not in self.known])
+                    self.learn([w for w in words if isinstance(w, bytes)])
                     own = {w: self.added[w[0]] for w in words if isinstance(w, tuple)}
                     known = self.known if not own else {w: self.known[w] for w in words if isinstance(w, bytes)} | own
                     out += [b"".join(map(known.__getitem__, x)) for x in lists]
