@@ -14,7 +14,7 @@ from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions import kernels, packers
 from ..functions.ordinals import ordinal_names
-from ..functions.tables import written
+from ..functions.tables import short_batches, written
 
 #: Section names where an entry point is usual, names of calls to warn of, and files that only drivers import from.
 GOOD_ENTRY_SECTIONS = (".text", ".code", "CODE", "INIT", "PAGE")
@@ -32,6 +32,7 @@ def pe_headers(objs: DataFrame, reach: int = 4096) -> DataFrame:
 
     reach: bytes kept of each section's start and from the entry point, the longest signature that can match there.
     """
+    short_batches(objs.sparkSession)
     rows = objs.where(F.hex(F.substring("value", 1, 2)) == "4D5A").select("capture", "id", "value")
 
     arrow = to_arrow_schema(T.StructType.fromDDL(PE))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import kernels
+from ..functions.tables import short_batches
 from .packets import METHODS
 
 #: MIME types shown as text or as binary.
@@ -176,6 +177,7 @@ def with_bodies(rows: DataFrame) -> DataFrame:
 
     truncated: the gzip stream ends early or goes on beyond kernels.MAX_INFLATED bytes, and res_body is its first part.
     """
+    short_batches(rows.sparkSession)
     kept = [c for c in rows.columns if c not in ("body", "res_length", "chunked")]
     schema = T.StructType([rows.schema[c] for c in kept] + [T.StructField("orig_resp", T.BinaryType()), T.StructField("res_body", T.BinaryType()), T.StructField("res_len", T.LongType()), T.StructField("truncated", T.BooleanType())])
 
