@@ -11,7 +11,7 @@ from ..operators import packets as P
 from ..sources import captures, sinks
 from ..sources.split_captures import frames_at
 from ..functions import kernels
-from ..functions.tables import shared_path, written
+from ..functions.tables import TASK_ROWS, dealt_by, shared_path, written
 from ..streaming import streams as T
 from .stand_ins import event_packets, hexes, micros, page_visits, table, tcp_frame
 
@@ -97,7 +97,7 @@ e AS (SELECT *, greatest(0, coalesce(max(pos + len) OVER (PARTITION BY l_orderke
 g AS (SELECT *, max((pos > expected)::INT) OVER (PARTITION BY l_orderkey ORDER BY pos, no ROWS UNBOUNDED PRECEDING) AS gap FROM e)
 SELECT l_orderkey, l_linenumber, CASE WHEN gap = 1 THEN 0 ELSE least(len, greatest(0, pos + len - expected)) END AS kept, gap = 0 AS released FROM g""")
 def reassemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    s = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", ((F.col("l_linenumber") * F.lit(10_000_000).cast("long") + F.col("l_partkey")) * 100 + F.col("l_quantity").cast("long")).alias("packet_no"), (F.col("l_partkey") % 50).alias("seq"), F.col("l_quantity").cast("long").alias("len"))
+    s = dealt_by(table(spark, sf_dir, "lineitem"), ["l_orderkey"]).select("l_orderkey", "l_linenumber", ((F.col("l_linenumber") * F.lit(10_000_000).cast("long") + F.col("l_partkey")) * 100 + F.col("l_quantity").cast("long")).alias("packet_no"), (F.col("l_partkey") % 50).alias("seq"), F.col("l_quantity").cast("long").alias("len"))
     s = s.withColumn("start", F.min("seq").over(Window.partitionBy("l_orderkey")))
     return P.reassemble(s, ["l_orderkey"]).select("l_orderkey", "l_linenumber", "kept", "released")
 
@@ -108,7 +108,7 @@ SELECT l_orderkey, l_linenumber, r, CASE WHEN gap = 1 THEN 0 ELSE len END AS kep
 def reassemble_long(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Streams of many GiB (their lengths only): numbers wrap, neighbours come in the wrong order, and every fifth stream lacks a segment."""
     line = F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_quantity"))
-    s = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", line.alias("line"), (F.col("l_quantity").cast("long") * 10_000_000).alias("len"))
+    s = dealt_by(table(spark, sf_dir, "lineitem"), ["l_orderkey"], TASK_ROWS // 8).select("l_orderkey", "l_linenumber", line.alias("line"), (F.col("l_quantity").cast("long") * 10_000_000).alias("len"))
     s = s.select("*", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(7).cast("long"))).alias("r")).withColumn("i", F.col("line") * 8 + F.col("r"))
     ahead = Window.partitionBy("l_orderkey").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
     s = s.withColumns({"start": F.lit(4_294_967_000), "seq": F.pmod(F.lit(4_294_967_000) + F.coalesce(F.sum("len").over(ahead), F.lit(0)), F.lit(1 << 32)), "packet_no": F.col("i").bitwiseXOR(F.lit(1).cast("long"))})

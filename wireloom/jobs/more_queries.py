@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels
-from ..functions.tables import shared_path, written
+from ..functions.tables import dealt_by, shared_path, written
 from ..operators import conversations as C
 from ..operators import executables as X
 from ..operators import flow as L
@@ -65,7 +65,7 @@ def stream_starts(spark: SparkSession, sf_dir: str) -> DataFrame:
     n = F.col("l_linenumber")
     kind = F.when((F.col("l_orderkey") % 3 == 0) & n.isin(1, 2), n).otherwise(0)
     no = (n * F.lit(10_000_000).cast("long") + F.col("l_partkey")) * 100 + F.col("l_quantity").cast("long")
-    s = table(spark, sf_dir, "lineitem").select("l_orderkey", (F.col("l_suppkey") % 2).alias("src"), no.alias("packet_no"), ((4294967256 + F.col("l_partkey") % 80) % (1 << 32)).alias("seq"), F.col("l_quantity").cast("long").alias("len"), (F.col("l_partkey") % 97).alias("ack"), kind.alias("kind"))
+    s = dealt_by(table(spark, sf_dir, "lineitem"), ["l_orderkey"]).select("l_orderkey", (F.col("l_suppkey") % 2).alias("src"), no.alias("packet_no"), ((4294967256 + F.col("l_partkey") % 80) % (1 << 32)).alias("seq"), F.col("l_quantity").cast("long").alias("len"), (F.col("l_partkey") % 97).alias("ack"), kind.alias("kind"))
     rows = P.stream_starts(s, ["l_orderkey"]).withColumn("seq", F.col("seq") + F.when(F.col("kind") > 0, 1).otherwise(0))
     return P.reassemble(rows, ["l_orderkey", "src"]).select("l_orderkey", "packet_no", "start", "kept", "released")
 
