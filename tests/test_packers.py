@@ -57,3 +57,24 @@ def test_many_long_signatures_at_their_places(spark):
         assert {(r.object_id, r.name, r.place, r.section, r.at - 0x200) for r in got} == want and len(got) == len(want)
         assert {r["size"] for r in got} == {512}
     assert X.packer_matches(objs, sigs.limit(0)).count() == 0
+
+
+def test_signatures_beyond_a_block_are_joined_not_scanned(spark, monkeypatch):
+    """However many signatures there are for known places, the objects are scanned once; what the join gives is what scans give."""
+    rng = random.Random(7)
+    bodies = [bytes(rng.choice((0, 1, 10, 255)) for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    objs = spark.createDataFrame([("c", i, small_pe(1_300_000_000, i % 3 == 0, b, ["ExitProcess"])) for i, b in enumerate(bodies)], "capture string, id long, value binary")
+    rows = []
+    for i in range(400):
+        b = bodies[i % 60][: rng.randint(1, 40)].hex()
+        p = "".join("??" if rng.random() < 0.2 else b[k : k + 2] for k in range(0, len(b), 2))
+        rows.append((f"n{i}", p, i % 4 < 2, i % 4 == 2))
+    sigs = spark.createDataFrame([*rows, ("bad", "4", True, False), ("any", "????", True, False)], "name string, pattern_hex string, ep_only boolean, section_start_only boolean")
+    want = sorted(map(tuple, X.packer_matches(objs, sigs).collect()), key=str)
+    scans, own = [], X.scan_block
+    monkeypatch.setattr(X, "scan_block", lambda o, s: scans.append(len(s)) or own(o, s))
+    monkeypatch.setattr(X, "FORMS", 1000)
+    assert sorted(map(tuple, X.packer_matches(objs, sigs, 2500).collect()), key=str) == want and len(want) > 400
+    assert len(scans) == 1 and scans[0] < 250
+    monkeypatch.setattr(X, "FORMS", 3)
+    assert sorted(map(tuple, X.packer_matches(objs, sigs, 2500).collect()), key=str) == want

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from functools import reduce
 
@@ -111,6 +112,9 @@ def probably_packed(sections: Column, size: Column) -> Column:
 
 #: Bytes of packer signatures that a scan holds at a time.
 SIGNATURE_BLOCK = 32 << 20
+#: Bytes of signatures' starts by which they meet the places of files, and forms of starts that do.
+STARTS, FORMS = (1, 2, 4, 8, 16, 32, 64, 128, 256, 512), 32
+PLACE = "capture string, object_id long, place string, section int, at long, form int, key binary, start binary, after binary"
 PACKER = "capture string, object_id long, name string, place string, section int, at long, size int"
 Signature = tuple[str, str, bool, bool]
 
@@ -153,22 +157,84 @@ def scan_block(objs: DataFrame, signatures: list[Signature]) -> DataFrame:
     return objs.where(F.hex(F.substring("value", 1, 2)) == "4D5A").select("capture", "id", "value").mapInArrow(run, PACKER)
 
 
+def signature_starts(rows: DataFrame) -> DataFrame:
+    """signature_rows with pattern (upper case), size, n (the largest of STARTS up to the size), start (the pattern's first n bytes) and
+    form (which of these are fixed); start and form are null for signatures that no place of a file is known for, that are no whole
+    bytes, that are longer than what a place carries or whose start has more bytes of any value than fixed ones."""
+    good = (F.col("ep_only") | F.col("section_start_only")) & F.col("pattern_hex").rlike(r"^([0-9A-Fa-f]{2}|\?\?)+$")
+    rows = rows.withColumns({"pattern": F.upper("pattern_hex"), "size": F.when(good, (F.length("pattern_hex") / 2).cast("int"))})
+    rows = rows.withColumn("n", F.array_max(F.filter(F.array(*[F.lit(x) for x in STARTS]), lambda x: x <= F.col("size"))))
+    start = F.substr("pattern", F.lit(1), 2 * F.col("n"))
+    fixed = F.length(F.replace(start, F.lit("?"), F.lit("")))
+    rows = rows.withColumn("start", F.when((F.col("size") < 2 * STARTS[-1]) & (fixed >= F.col("n")), start))
+    return rows.withColumn("form", F.translate("start", "0123456789ABCDEF", "x" * 16))
+
+
+def joined_matches(objs: DataFrame, starts: DataFrame, forms: list[str]) -> DataFrame:
+    """packer_matches of signature_starts of these forms: places of the objects and signatures meet by a digest of the start and
+    are compared in full, so work grows with both and their matches, not with their product."""
+    arrow = to_arrow_schema(T.StructType.fromDDL(PLACE))
+    known = [(len(f) // 2, [i for i in range(len(f) // 2) if f[2 * i] == "?"]) for f in forms]
+
+    def places(value: bytes) -> Iterator[tuple[str, int | None, int]]:
+        pe = kernels.parse_pe(value, 0)
+        if pe and pe["entry_at"] is not None:
+            yield "entry", None, pe["entry_at"]
+        for n, s in enumerate(pe["sections"] if pe else []):
+            yield "section", n, s["raw_ptr"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for capture, id, value in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()):
+                for place, section, at in places(value):
+                    for form, (n, wild) in enumerate(known):
+                        if at + n <= len(value):
+                            start = bytearray(value[at : at + n])
+                            for i in wild:
+                                start[i] = 0
+                            out.append((capture, id, place, section, at, form, hashlib.md5(start).digest(), bytes(start), value[at + n : at + 2 * n - 1]))
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out) if out else [()] * len(arrow), arrow)], schema=arrow)
+
+    short_batches(objs.sparkSession)
+    found = objs.where(F.hex(F.substring("value", 1, 2)) == "4D5A").select("capture", "id", "value").mapInArrow(run, PLACE)
+    place = F.when(F.col("section_start_only"), "section").otherwise("entry")
+    start, rest = F.unhex(F.replace("start", F.lit("?"), F.lit("0"))), F.substr("pattern", 2 * F.col("n") + 1)
+    wanted = starts.where(F.col("form").isin(forms)).select("name", "size", "n", place.alias("place"), (F.array_position(F.lit(forms), F.col("form")) - 1).cast("int").alias("form"), F.md5(start).alias("key"), start.alias("own"), rest.alias("rest"))
+    wanted = wanted.withColumns({"key": F.unhex("key"), "fixed": F.unhex(F.when(~F.contains("rest", F.lit("?")), F.col("rest")))})
+    wild = F.rlike(F.hex("after"), F.concat(F.lit("^"), F.replace("rest", F.lit("?"), F.lit("."))))
+    same = F.when(F.col("fixed").isNotNull(), F.substring("after", F.lit(1), F.col("size") - F.col("n")) == F.col("fixed")).otherwise(wild)
+    rows = found.join(wanted, ["place", "form", "key"]).where((F.col("start") == F.col("own")) & same)
+    return rows.select("capture", "object_id", "name", "place", "section", "at", "size")
+
+
 def packer_matches(objs: DataFrame, signatures: DataFrame, block: int = SIGNATURE_BLOCK) -> DataFrame:
     """(capture, object_id, name, place, section, at, size): packer signatures that match objects (capture, id, value) that are executables.
 
     signatures: name, pattern_hex (?? for any byte), ep_only, section_start_only. With section_start_only they match where a
     section's data starts (section: its number), else with ep_only where the entry point lies in the file, else anywhere,
     of which the first place is given. at: offset in the file; size: bytes of the signature. A task holds
-    `block` bytes of signatures; more are dealt into blocks, each a scan of the objects whose rows are written.
+    `block` bytes of signatures. Of more, those for known places are joined with them by their starts (`signature_starts`, the FORMS most
+    frequent forms); the rest, such as those for anywhere, is dealt into blocks, each a scan of the objects whose rows are written.
     """
     rows = signature_rows(signatures)
-    total = rows.agg(F.sum(F.length("pattern_hex"))).first()[0] or 0
-    n = max(1, -(-total // (2 * block)))
+    blocks = lambda rows: max(1, -(-(rows.agg(F.sum(F.length("pattern_hex"))).first()[0] or 0) // (2 * block)))
+    n, found = blocks(rows), []
+    if n > 1:
+        starts = written(signature_starts(rows), "signature-starts")
+        counts = starts.where("form is not null").groupBy("form").count()
+        forms = [r["form"] for r in counts.orderBy(F.desc("count"), "form").limit(FORMS).collect()]
+        if forms:
+            found.append(joined_matches(objs, starts, forms))
+            rows = starts.where(~F.coalesce(F.col("form").isin(forms), F.lit(False))).select(*rows.columns)
+            n = blocks(rows)
     part = F.pmod(F.xxhash64("pattern_hex", "name"), F.lit(n))
     of_block = lambda i: [tuple(r) for r in (rows if n == 1 else rows.where(part == i)).collect()]
     if n == 1:
-        return scan_block(objs, of_block(0))
-    return reduce(DataFrame.unionByName, [written(scan_block(objs, of_block(i)), "packers") for i in range(n)])
+        found.append(scan_block(objs, of_block(0)))
+    else:
+        found += [written(scan_block(objs, of_block(i)), "packers") for i in range(n)]
+    return reduce(DataFrame.unionByName, found)
 
 
 def starting_packers(heads: DataFrame, head: str, signatures: list[tuple[str, str]]) -> DataFrame:
