@@ -84,3 +84,10 @@ def test_connections_end_with_the_first_fin_and_reopen_with_a_request(spark):
     # after the client's FIN the server asks: it is the client of a connection of its own
     rows = talk((True, 0, 100, 500, ask), (True, -1, 119, 500, b""), (False, 0, 500, 120, b"HTTP/1.1 late"), (False, 0, 513, 120, ask))
     assert messages(spark, rows) == [(1, 1, True, a, ask), (2, 1, True, b, ask)]
+
+
+def test_fields_of_a_frame_are_worked_out_once(spark):
+    """Places of later fields hang on earlier ones; the plan must not hold the earlier ones again for each use."""
+    frames = spark.createDataFrame([("c", 0, 1, 0, b"")], "capture string, packet_no long, link_type int, ts_us long, frame binary")
+    plan = P.decode_packets(frames)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("conv(") < 60

@@ -35,6 +35,11 @@ def packet_kind(flags: Column) -> Column:
     return F.when(has(SYN) & has(ACK), 2).when(has(SYN), 1).when(has(FIN), -1).otherwise(0)
 
 
+def once(rows: DataFrame, **values: Column) -> DataFrame:
+    """rows with these columns, each worked out once a row: Spark copies a plain column into every expression that uses it, and so on through the steps."""
+    return rows.select("*", F.explode(F.array(F.struct(*[v.alias(k) for k, v in values.items()]))).alias("__once")).select("*", "__once.*").drop("__once")
+
+
 def decode_packets(frames: DataFrame) -> DataFrame:
     """TCP over IPv4 packets of frames (capture, packet_no, link_type, ts_us, frame); anything else or cut short is dropped.
 
@@ -43,22 +48,24 @@ def decode_packets(frames: DataFrame) -> DataFrame:
     """
     f, cooked = F.col("frame"), F.col("link_type") == LINUX_COOKED
     kind0 = F.when(cooked, uint(f, 14, 2)).otherwise(uint(f, 12, 2))
-    rows = frames.where(F.col("link_type").isin(ETHERNET, LINUX_COOKED)).withColumn("kind0", kind0)
+    rows = frames.where(F.col("link_type").isin(ETHERNET, LINUX_COOKED)).select("capture", "packet_no", "link_type", "ts_us", "frame")
+    rows = once(rows, kind0=kind0)
     base = F.when(cooked, 16).when(F.col("kind0") == TYPE_VLAN, 18).otherwise(14)
     kind1 = F.when(~cooked & (F.col("kind0") == TYPE_VLAN), uint(f, 16, 2)).otherwise(F.col("kind0"))
-    rows = rows.withColumns({"base": base, "kind1": kind1})
+    rows = once(rows, base=base, kind1=kind1)
     pppoe = F.col("kind1") == TYPE_PPPOE
     is_ip = (F.col("kind1") == TYPE_IPV4) | (pppoe & (uint(f, F.col("base") + 6, 2) == PPP_IPV4))
-    rows = rows.where(is_ip).withColumn("ip", F.when(pppoe, F.col("base") + 8).otherwise(F.col("base")))
+    rows = once(rows.where(is_ip), ip=F.when(pppoe, F.col("base") + 8).otherwise(F.col("base")))
     ip = F.col("ip")
-    rows = rows.withColumns({"first": uint(f, ip, 1), "total": uint(f, ip + 2, 2), "protocol": uint(f, ip + 9, 1)})
+    rows = once(rows, first=uint(f, ip, 1), total=uint(f, ip + 2, 2), protocol=uint(f, ip + 9, 1))
     rows = rows.where((F.shiftright("first", 4) == 4) & (F.col("protocol") == PROTOCOL_TCP))
-    rows = rows.withColumn("tcp", ip + 4 * F.col("first").bitwiseAND(15))
+    rows = once(rows, tcp=ip + 4 * F.col("first").bitwiseAND(15))
     tcp = F.col("tcp")
-    rows = rows.withColumns({"head": 4 * F.shiftright(uint(f, tcp + 12, 1), 4), "flags": uint(f, tcp + 13, 1), "end": ip + F.col("total")})
+    rows = once(rows, head=4 * F.shiftright(uint(f, tcp + 12, 1), 4), flags=uint(f, tcp + 13, 1), end=ip + F.col("total"))
     rows = rows.where((F.col("head") >= 20) & (tcp + F.col("head") <= F.col("end")) & (tcp + 20 <= F.length("frame")))
     start = tcp + F.col("head")
-    payload = F.substring(f, start.cast("int") + 1, (F.col("end") - start).cast("int"))
+    rows = once(rows, payload=F.substring(f, start.cast("int") + 1, (F.col("end") - start).cast("int")))
+    payload = F.col("payload")
     blank = (F.length(payload) < 20) & (F.rtrim(F.translate(F.hex(payload), "0", " ")) == "")
     return rows.select(
         "capture", "packet_no", "ts_us", ipv4(f, ip + 12).alias("src_ip"), uint(f, tcp, 2).cast("int").alias("src_port"), ipv4(f, ip + 16).alias("dst_ip"), uint(f, tcp + 2, 2).cast("int").alias("dst_port"),
