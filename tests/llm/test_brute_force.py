@@ -332,6 +332,30 @@ def test_recall_of_near_passages(spark, words, changed):
     assert len(found) >= 90
 
 
+def test_all_pairs_of_a_passage_in_a_dozen_texts(spark):
+    """Every two of the texts that hold a passage are linked, not each to one of them only."""
+    rng, docs = np.random.default_rng(91), []
+    fresh = lambda n: [f"x{v}" for v in rng.integers(0, 10**9, n)]
+    for family in range(3):
+        own = fresh(60)
+        docs += [(family * 100 + i, " ".join(fresh(70) + own + fresh(70))) for i in range(12)]
+    rows = passages.repeated_passages(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    want = {(f * 100 + i, f * 100 + j) for f in range(3) for i in range(12) for j in range(i)}
+    assert {(r.doc_id, r.match_doc_id) for r in rows} == want
+
+
+def test_words_hash_alike_wherever_they_stand():
+    """Hashes of the same five words are the same in any text and batch; cuts are those of bytes.split."""
+    rng = np.random.default_rng(17)
+    texts = [bytes(rng.choice(list(b"abc \t\n\x0b\x0c\r\x1c\x85"), int(rng.integers(0, 90))).astype(np.uint8)) for _ in range(300)]
+    known: dict[bytes, int] = {}
+    for some in (texts, texts[::-1], texts[:7], texts[9:10]):
+        for text, x in zip(some, passages.tokens_of(some), strict=True):
+            names = passages.shingle_strings(text.split())
+            assert len(names) == len(x) and all(known.setdefault(n, h) == h for n, h in zip(names, x.tolist()))
+    assert len(set(known.values())) == len(known)
+
+
 def test_near_copies_of_large_groups_are_one_class(spark):
     """150 copies with two of 100 words replaced; the one that all are near to is neither first nor open for long. Links join them all."""
     rng, docs, edges = np.random.default_rng(77), [], []
