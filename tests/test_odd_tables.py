@@ -50,3 +50,8 @@ def test_more_rows_take_more_tasks(spark):
 def test_lines_are_dealt_by_their_number(spark, name):
     plan = QUERIES[name](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "REPARTITION_BY_NUM" in plan and "ENSURE_REQUIREMENTS" not in plan
+
+
+def test_scripts_are_made_once(spark):
+    plan = QUERIES["deobfuscate"](spark, SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("regexp_extract_all(") == 1
