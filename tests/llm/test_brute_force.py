@@ -344,6 +344,44 @@ def test_all_pairs_of_a_passage_in_a_dozen_texts(spark):
     assert {(r.doc_id, r.match_doc_id) for r in rows} == want
 
 
+def test_near_repeats_among_many_texts_with_their_line(spark, monkeypatch):
+    """Near repeats that hold a line of 200 texts, and a word more, less or another one after it: pairs whose windows have the line's minima only agree in nothing else at fixed distances."""
+    rng, docs = np.random.default_rng(101), []
+    fresh = lambda n: [f"x{v}" for v in rng.integers(0, 10**9, n)]
+    line = fresh(38)
+    docs += [(i, " ".join(fresh(60) + line + fresh(60))) for i in range(80)]
+    for i in range(60):
+        tail = fresh(20)
+        docs.append((1000 + i, " ".join(fresh(50) + line + tail + fresh(50))))
+        docs.append((2000 + i, " ".join(fresh(55) + line + [f"in{i}"] * (i % 3 > 0) + tail[i % 3 != 1 :] + fresh(45))))
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    for held in (passages.RUNS_HELD, 0):
+        monkeypatch.setattr(passages, "RUNS_HELD", held)
+        pairs = {(r.doc_id, r.match_doc_id) for r in passages.repeated_passages(table).collect()}
+        assert pairs <= {(2000 + i, 1000 + i) for i in range(60)} and len(pairs) >= 58
+
+
+def test_runs_with_one_gap_share_a_mark():
+    """Any least length of tokens about the minimum, with a word replaced by up to three anywhere in it; not rows that share less."""
+    rng, tried = np.random.default_rng(7), 0
+    shared = lambda low, high, around: any(len(np.intersect1d(m[r == 0], m[r == 1])) for r, m in passages.run_marks(np.array([5, 5], np.uint64), low, high, around, 46))
+    for _ in range(700):
+        first, gap, more = int(rng.integers(-45, 1)), int(rng.integers(-44, 41)), int(rng.integers(0, 3))
+        if not first < gap < first + 41 or gap <= 0 <= gap + 4:
+            continue
+        tried += 1
+        a = rng.integers(1, 1 << 32, 400).astype(np.uint32)
+        b = np.concatenate((a[: 200 + gap], rng.integers(1, 1 << 32, 5 + more).astype(np.uint32), a[205 + gap :]))
+        at = 200 + more * (gap < 0)
+        around = np.stack([a[153:248], b[at - 47 : at + 48]])
+        low = np.array([47 + first, 47 + first - more * (gap < 0)])
+        high = np.array([92 + first, 92 + first + more * (gap > 0)])
+        assert around[0, 47] == around[1, 47] and shared(low, high, around), (first, gap, more)
+        around[1, (np.arange(95) % 9 == 0) & (np.arange(95) != 47)] = 1
+        assert not shared(low, high, around)
+    assert tried > 150
+
+
 def test_words_hash_alike_wherever_they_stand():
     """Hashes of the same five words are the same in any text and batch; cuts are those of bytes.split."""
     rng = np.random.default_rng(17)
